@@ -34,7 +34,7 @@ def flag_readings(
     source: str,
     day: str,
     measures: tuple[Measure, ...] = WEATHER_MEASURES,
-    risk: float = 1e-6,
+    risk: float = 3e-6,
     season_days: int = 15,
     stuck: int = 5,
     max_shape: float = 0.05,
