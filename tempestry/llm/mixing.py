@@ -167,7 +167,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 512, to
 
 
 def shares(mix_rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The report with tokens_taken and actual_share of what was really put into the mix."""
+    """The report with tokens_taken, their share of the tokens asked for and their actual_share of the mix as made."""
     got = mix_rows.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens_taken"))
     x = plan.join(got, "source", "left").fillna(0, ["tokens_taken"])
-    return x.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens_taken").cast("double"), F.sum("tokens_taken").over(Window.partitionBy())), F.lit(0.0)))  # one row a source
+    part = lambda c: F.coalesce(F.try_divide(F.col("tokens_taken").cast("double"), F.sum(c).over(Window.partitionBy())), F.lit(0.0))  # noqa: E731  (one row a source)
+    return x.withColumns({"share_of_target": part("target_tokens"), "actual_share": part("tokens_taken")})
