@@ -97,10 +97,14 @@ def average_rank(value: Column, keys: list, name: str) -> Column:
     return F.when(value.isNotNull(), F.rank().over(w) + (ties - 1) / 2.0).alias(name)
 
 
-def local_minutes(day: Column, tz: Column) -> Column:
-    """Minutes of the civil day in the zone: 1440, or 1380 and 1500 on days with a clock change."""
-    at = lambda d: F.unix_timestamp(F.to_utc_timestamp(d.cast("timestamp"), tz))
-    return ((at(F.date_add(day, 1)) - at(day)) / 60).cast("int")
+def utc_midnight(day: Column) -> Column:
+    """The instant at which the day begins in UTC, whatever the session's zone."""
+    return F.timestamp_seconds(F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400)
+
+
+def utc_day(ts: Column) -> Column:
+    """The day of an instant in UTC, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))
 
 
 def fips5(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempestry.functions.columns import clip, flag, safe_div
+from tempestry.functions.columns import clip, flag, safe_div, utc_day, utc_midnight
 from tempestry.session import small
 
 # The cadences of a feed in minutes, and the default where none can be seen.
@@ -20,14 +20,13 @@ DAILY_COLUMNS = {
 def civil_day(ts: Column, tz: Column | None = None, mode: str = "per_county", single: str = DEFAULT_ZONE) -> Column:
     """The civil day of a UTC instant: of its county's zone (DEFAULT_ZONE where null), of one zone, or of UTC."""
     if mode == "utc":
-        return F.to_date(ts)
-    return F.to_date(F.from_utc_timestamp(ts, F.lit(single) if mode == "single" else F.coalesce(tz, F.lit(DEFAULT_ZONE))))
+        return utc_day(ts)
+    return utc_day(F.from_utc_timestamp(ts, F.lit(single) if mode == "single" else F.coalesce(tz, F.lit(DEFAULT_ZONE))))
 
 
 def minutes_of_day(day: Column, tz: Column) -> Column:
     """1440, or 1380 and 1500 on the days of clock changes; 1440 if the day has no midnight that can be placed."""
-    start = F.unix_timestamp(F.to_utc_timestamp(day.cast("timestamp_ntz").cast("timestamp"), tz))
-    end = F.unix_timestamp(F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp_ntz").cast("timestamp"), tz))
+    start, end = (F.unix_seconds(F.to_utc_timestamp(utc_midnight(d), tz)) for d in (day, F.date_add(day, 1)))
     return F.coalesce(((end - start) / 60).cast("int"), F.lit(1440))
 
 
@@ -42,7 +41,7 @@ def median_gap_cadence(snaps: DataFrame, entity: str, ts: str) -> DataFrame:
 
     Entities are cut into days; the first snapshot of a day follows the last of the entity's day before (one row a day), so
     no entity is sorted in one task."""
-    x = snaps.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("_e"), F.unix_timestamp(ts).alias("_t")).withColumn("_b", F.floor(F.col("_t") / 86400))
+    x = snaps.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("_e"), F.unix_seconds(ts).alias("_t")).withColumn("_b", F.floor(F.col("_t") / 86400))
     before = Window.partitionBy("_e").orderBy("_b")
     last = x.groupBy("_e", "_b").agg(F.max("_t").alias("_m")).select("_e", "_b", F.lag("_m").over(before).alias("_carry"))
     w = Window.partitionBy("_e", "_b").orderBy("_t")

@@ -119,6 +119,11 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return blockpivot.cell_states(wide, ["station", "day"], kinds).where(F.col("state") != "ok").select("station", _day(), "datatype", "state")
 
 
+def rounded(expr: str, alias: str, digits: int = 6) -> str:
+    """SQL that rounds as the queries do, with no negative zero."""
+    return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits}) END AS {alias}"
+
+
 QUERIES = {f.__name__: f for f in (p1_totals, p1_found, p2_flags, p2_found, p3_times, p3_found, p4_table, p4_changes, p4_found, p5_filled, p5_found, p6_periods, p6_found, p7_wide, p7_found)}
 
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY county_fips, day ORDER BY loaded_at DESC) AS rn_ FROM weather_features WHERE county_fips IS NOT NULL AND day IS NOT NULL) WHERE rn_ = 1)"
@@ -200,8 +205,8 @@ n AS (SELECT station, day, datatype, coalesce(CASE WHEN regexp_matches(v, '^[+-]
 """
 
 ORACLE = {
-    "p1_totals": f"WITH {_CALENDAR} SELECT county_fips, strftime(day, '%Y-%m-%d') AS day, active, {', '.join(f'round({m}, 4) AS {m}' for m in ('PRCP', 'WSF2'))}, "
-    + ", ".join(f"round({m}_total_{n}d, 4) AS {m}_total_{n}d, round({m}_total_{n}d / {n}, 4) AS {m}_avg_{n}d" for m in ("PRCP", "WSF2") for n in (7, 30))
+    "p1_totals": f"WITH {_CALENDAR} SELECT county_fips, strftime(day, '%Y-%m-%d') AS day, active, {', '.join(rounded(m, m, 4) for m in ('PRCP', 'WSF2'))}, "
+    + ", ".join(rounded(f"{m}_total_{n}d", f"{m}_total_{n}d", 4) + ", " + rounded(f"{m}_total_{n}d / {n}", f"{m}_avg_{n}d", 4) for m in ("PRCP", "WSF2") for n in (7, 30))
     + " FROM r",
     "p1_found": f"WITH {_CALENDAR} SELECT county_fips, strftime(day, '%Y-%m-%d') AS day FROM r WHERE round(PRCP_total_7d, 1) = 0.0 AND round(PRCP_total_30d, 1) > 40.0",
     "p3_found": _P3,
