@@ -27,6 +27,19 @@ def yes_no(text: Column) -> Column:
     return F.when(t.isin(*YES), 1.0).when(t.isin(*NO), 0.0)
 
 
+def column_names(attributes: list[str], entity: list[str]) -> dict[str, str]:
+    """The column of each attribute: its name, with underscores added while it or its _state is taken (whatever the case) by an entity
+    column or an attribute before it."""
+    used, out = {c.lower() for c in entity}, {}
+    for a in attributes:
+        c = a
+        while {c.lower(), f"{c}_state".lower()} & used:
+            c += "_"
+        used |= {c.lower(), f"{c}_state".lower()}
+        out[a] = c
+    return out
+
+
 def wide_table(cells: DataFrame, entity: list[str], attribute: str, value: str, attributes: list[str] | None = None, block: int = 256) -> DataFrame:
     """One row per entity; per attribute A a double column A and a column A_state.
 
@@ -34,7 +47,7 @@ def wide_table(cells: DataFrame, entity: list[str], attribute: str, value: str,
     A, `empty` if none of them is usable, `contested` if the usable ones differ (A is then null), else `ok`. NaN is not
     usable. Rows with a null entity column or attribute are left out; an empty table gives no rows. attributes: the
     columns to make, in this order, by default all there are, sorted (a distinct job of its own; over MAX_ATTRIBUTES
-    raise).
+    raise). Names that clash are told apart as column_names does.
 
     Attributes are divided into blocks; each block is pivoted by conditional aggregates that combine on the map side,
     hashed by the same entity columns into the same number of partitions, and the blocks are joined where they lie.
@@ -46,23 +59,25 @@ def wide_table(cells: DataFrame, entity: list[str], attribute: str, value: str,
             raise ValueError("more attributes than columns can be made of")
         attributes = sorted(r[0] for r in rows)
     usable = F.when(~F.isnan(value), F.col(value))
-    blocks = []
+    blocks, called = [], column_names(attributes, entity)
     for at in range(0, len(attributes), block):
         names = attributes[at : at + block]
         aggs = []
         for i, a in enumerate(names):
             mine = F.col(attribute) == a
             aggs += [F.min(F.when(mine, usable)).alias(f"_lo{at + i}"), F.max(F.when(mine, usable)).alias(f"_hi{at + i}"), F.max(F.when(mine, F.lit(True))).alias(f"_any{at + i}")]
-        part = cells if len(attributes) <= block else cells.where(F.col(attribute).isin(names))
+        # The first block runs over all cells and so has a row for every entity; the rest are joined to it from the left, which keeps
+        # its partitioning (a full join would lose it and shuffle again).
+        part = cells if at == 0 else cells.where(F.col(attribute).isin(names))
         part = part.groupBy(*entity).agg(*aggs)
         out = []
         for i, a in enumerate(names):
             lo, hi, there = F.col(f"_lo{at + i}"), F.col(f"_hi{at + i}"), F.col(f"_any{at + i}")
-            out += [F.when(lo == hi, lo).alias(a), F.when(there, F.when(lo.isNull(), "empty").when(lo != hi, "contested").otherwise("ok")).alias(f"{a}_state")]
+            out += [F.when(lo == hi, lo).alias(called[a]), F.when(there, F.when(lo.isNull(), "empty").when(lo != hi, "contested").otherwise("ok")).alias(f"{called[a]}_state")]
         blocks.append(part.select(*entity, *out))
     if not blocks:
         return cells.select(*entity).distinct()
-    return reduce(lambda a, b: a.join(b, entity, "full"), blocks)
+    return reduce(lambda a, b: a.join(b.hint("merge"), entity, "left"), blocks)
 
 
 def weather_cells(obs: DataFrame, stations: DataFrame) -> DataFrame:
@@ -83,5 +98,7 @@ def weather_cells(obs: DataFrame, stations: DataFrame) -> DataFrame:
 
 def cell_states(wide: DataFrame, entity: list[str], attributes: list[str]) -> DataFrame:
     """The wide table's states in long form: entity, datatype, state; cells without rows are left out."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("datatype"), F.col(f"{a}_state").alias("state")) for a in attributes])).alias("_x")
+    called = column_names(attributes, entity)
+    empty = F.array().cast("array<struct<datatype:string,state:string>>")
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("datatype"), F.col(f"`{called[a]}_state`").alias("state")) for a in attributes]) if attributes else empty).alias("_x")
     return wide.select(*entity, pairs).select(*entity, "_x.datatype", "_x.state").where(F.col("state").isNotNull())

@@ -77,27 +77,29 @@ def rescue_ingest(df: DataFrame, payload: str, names: dict[str, list[str]], targ
     JSON object, or null if empty, of what found no place: keys of no target field, and values that are not null
     and can't be cast. A payload that is no JSON object stands under "_payload" there; a null payload gives nulls.
     No shuffle. Columns kept whose names clash with target fields are replaced by the fields."""
-    m = F.col("_m")
+    m = F.col("__map")
     keep = [c for c in (keep if keep is not None else df.columns) if c not in {payload, *target, "_rescued"}]
-    x = df.select(*keep, F.col(payload).alias("_payload"), json_fields(F.col(payload)).alias("_m"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row") if keep else F.lit(None).alias("__row")  # as one column: no name of df's can clash
+    x = df.select(row, F.col(payload).alias("__payload"), json_fields(F.col(payload)).alias("__map"))
     known = {f: list(dict.fromkeys([f, *names.get(f, [])])) for f in target}
     fields = {f: _typed(m, known[f], kind) for f, kind in target.items()}
-    x = x.select(*keep, "_payload", "_m", *[c.alias(f) for f, c in fields.items()])
+    x = x.select("__row", "__payload", "__map", *[c.alias(f) for f, c in fields.items()])
     failed = [F.when(CASTS[target[f]](_plain(F.try_element_at(m, F.lit(n)))).isNull(), F.lit(n)) for f in target for n in known[f]]
     lost = F.array_compact(F.array(*failed))
     allowed = F.array(*[F.lit(n) for f in target for n in known[f]])
     rest = F.map_filter(m, lambda k, v: (~F.array_contains(allowed, k) | F.array_contains(lost, k)) & json_type(v).isNotNull())
-    broken = F.when(m.isNull() & F.col("_payload").isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col("_payload"))))
+    broken = F.when(m.isNull() & F.col("__payload").isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col("__payload"))))
     rescued = F.coalesce(F.when(F.size(rest) > 0, F.to_json(rest)), broken)
-    return x.select(*keep, *target, rescued.alias("_rescued"))
+    x = x.select("__row", *target, rescued.alias("_rescued"))
+    return x.select(*[F.col("__row")[c].alias(c) for c in keep], *target, "_rescued")
 
 
 def replay(df: DataFrame, promote: dict[str, str], names: dict[str, list[str]] | None = None) -> DataFrame:
     """Rescued values moved into typed columns: for each field of promote (name -> kind), from _rescued, under its
     canonical and delivered names. A column that is there already keeps its values and gets only its nulls filled.
     What is moved leaves _rescued; what can't be cast stays."""
-    names, m = names or {}, F.col("_rm")
-    x = df.withColumn("_rm", json_fields(F.col("_rescued")))
+    names, m = names or {}, F.col("__replayed")
+    x = df.withColumn("__replayed", json_fields(F.col("_rescued")))
     gone = []
     for f, kind in promote.items():
         all_names = list(dict.fromkeys([f, *names.get(f, [])]))
@@ -105,7 +107,7 @@ def replay(df: DataFrame, promote: dict[str, str], names: dict[str, list[str]] |
         x = x.withColumn(f, F.coalesce(F.col(f), got) if f in df.columns else got)
         gone += [F.when(CASTS[kind](_plain(F.try_element_at(m, F.lit(n)))).isNotNull(), F.lit(n)) for n in all_names]
     rest = F.map_filter(m, lambda k, v: ~F.array_contains(F.array_compact(F.array(*gone)), k))
-    return x.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(rest)).when(m.isNull(), F.col("_rescued"))).drop("_rm")
+    return x.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(rest)).when(m.isNull(), F.col("_rescued"))).drop("__replayed")
 
 
 def field_changes(df: DataFrame, publisher: str, file_name: str, file_date: str, payload: str, field_names: DataFrame) -> DataFrame:

@@ -67,19 +67,29 @@ def sessions(snaps: DataFrame, entity: str, day: str, ts: str, customers: str, g
     return s.select(entity, day, "session_start", "session_end", "snapshots", "peak")
 
 
-def daily_rollup(snaps: DataFrame, minutes: Column, entity: str = "fips_code", day: str = "local_day", customers: str = "customers_out", total: str | None = "customers_total") -> DataFrame:
-    """One row per entity and civil day: any_out, minutes_out, customers_out (peak), customers_out_mean (over all rows that have a
-    number, zeros too), cust_minute_area, raw_total (the largest denominator delivered). Combined on the map side."""
-    c = F.col(customers)
+def daily_rollup(snaps: DataFrame, entity: str = "fips_code", day: str = "local_day", ts: str = "ts", customers: str = "customers_out", total: str | None = "customers_total", gap_minutes: int = 30) -> DataFrame:
+    """One row per entity and civil day: any_out, num_out_per_day (as sessions() counts), positives (positive snapshots), customers_out (peak),
+    customers_out_mean (over all rows that have a number, zeros too), customer_snapshots (their sum), raw_total (the largest
+    denominator delivered). minutes_out and cust_minute_area are positives and customer_snapshots times the cadence.
+
+    Events are found by a window over (entity, day), and the aggregate has the same keys: one shuffle for both. Such a group is
+    bounded by the snapshots of a day."""
+    c = F.col("_c")
+    x = snaps.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
+    x = x.select(F.col(entity).alias("fips_code"), F.col(day).alias("run_start_time_day"), F.unix_seconds(ts).alias("_t"), F.col(customers).alias("_c"), (F.col(total) if total else F.lit(None)).cast("bigint").alias("_total"))
+    w = Window.partitionBy("fips_code", "run_start_time_day").orderBy("_t")
+    last = F.last(F.when(c > 0, F.col("_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_new", flag((c > 0) & F.col("_t").isNotNull() & (last.isNull() | (F.col("_t") - last > gap_minutes * 60))))
     aggs = [
         F.max(flag(c > 0)).alias("any_out"),
-        (F.max(minutes).cast("bigint") * F.count_if(c > 0)).alias("minutes_out"),
+        F.sum("_new").alias("num_out_per_day"),
+        F.count_if(c > 0).alias("positives"),
         F.max(c).cast("bigint").alias("customers_out"),
         F.avg(c).alias("customers_out_mean"),
-        F.coalesce(F.sum(c * minutes), F.lit(0)).cast("bigint").alias("cust_minute_area"),
-        (F.max(total) if total else F.lit(None)).cast("bigint").alias("raw_total"),
+        F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias("customer_snapshots"),
+        F.max("_total").alias("raw_total"),
     ]
-    return snaps.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(entity).alias("fips_code"), F.col(day).alias("run_start_time_day")).agg(*aggs)
+    return x.groupBy("fips_code", "run_start_time_day").agg(*aggs)
 
 
 def denominators(mcc: DataFrame, code: str = "county_fips", customers: str = "customers") -> DataFrame:
@@ -95,10 +105,8 @@ def daily_outages(snaps: DataFrame, places: DataFrame, mcc: DataFrame | None, ga
     and customers_total. year keeps that year's civil days only. Rates are null unless the denominator is positive; it is
     the county's of mcc, or the largest delivered that day if there is no mcc table."""
     cadence = snaps.sparkSession.range(1).select(F.lit(snapshot_minutes).alias("snapshot_minutes")) if snapshot_minutes else median_gap_cadence(snaps, "fips_code", ts)
-    x = snaps.crossJoin(F.broadcast(cadence))  # one row
-    daily = daily_rollup(x, F.col("snapshot_minutes"))
-    events = sessions(snaps, "fips_code", "local_day", ts, "customers_out", gap_minutes).groupBy("fips_code", F.col("local_day").alias("run_start_time_day")).agg(F.count(F.lit(1)).alias("num_out_per_day"))
-    daily = daily.join(events, ["fips_code", "run_start_time_day"], "left").fillna(0, ["num_out_per_day"])
+    daily = daily_rollup(snaps, ts=ts, gap_minutes=gap_minutes).crossJoin(F.broadcast(cadence))  # one row
+    daily = daily.withColumns({"minutes_out": F.col("positives") * F.col("snapshot_minutes"), "cust_minute_area": F.col("customer_snapshots") * F.col("snapshot_minutes")})
     daily = daily.join(small(denominators(mcc)), "fips_code", "left") if mcc is not None else daily.withColumn("customers_total", F.col("raw_total"))
     daily = daily.join(small(places.select("fips_code", "tz")), "fips_code", "left")
     total, area = F.col("customers_total"), F.col("cust_minute_area")

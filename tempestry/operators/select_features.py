@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions.columns import denan, pearson
@@ -98,8 +98,8 @@ def mutual_information(df: DataFrame, features: dict[str, Column] | list[str], t
         binned.append(F.struct(F.lit(f).alias("feature"), F.when(c.isNotNull(), b).alias("b")))
     long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(F.array(*binned)).alias("_x")).select("y", "_x.feature", "_x.b").where("b is not null")
     j = long.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n"))
-    t, bs, ys = j.groupBy("feature").agg(F.sum("n").alias("t")), j.groupBy("feature", "b").agg(F.sum("n").alias("nb")), j.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
-    x = j.join(t, "feature").join(bs, ["feature", "b"]).join(ys, ["feature", "y"])
+    total = lambda *keys: F.sum("n").over(Window.partitionBy("feature", *keys))  # noqa: E731  (j has bins times classes rows a feature)
+    x = j.select("feature", "n", total().alias("t"), total("b").alias("nb"), total("y").alias("ny"))
     return x.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
+from functools import cache
 from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,31 @@ _FORMS = (
 _COUNTS = {9: 1, 10: 1, 13: 1_000, 16: 1_000_000, 19: 1_000_000_000}
 
 
+@cache
+def spans_by_year(name: str, first: int, last: int) -> list[tuple[int, list[dict[str, int]]]]:
+    """(year, spans) of one zone; kept by the worker process. Offsets are looked up every three days, more often than any zone
+    changes back and forth, and each change is bisected to the second."""
+    if name not in available_timezones():
+        return []
+    tz = ZoneInfo(name)
+    begin, end = (int(datetime(y, m, 1, tzinfo=UTC).timestamp()) for y, m in ((first - 1, 12), (last + 1, 2)))
+    off = lambda t: int(datetime.fromtimestamp(t, tz).utcoffset().total_seconds())
+    cuts = [(begin, off(begin))]
+    for t in range(begin, end, 3 * 86400):
+        if off(t + 3 * 86400) != off(t):
+            a, b = t, t + 3 * 86400
+            while b - a > 1:
+                mid = (a + b) // 2
+                a, b = (mid, b) if off(mid) == cuts[-1][1] else (a, mid)
+            cuts.append((b, off(b)))
+    spans = [(u, cuts[i + 1][0] if i + 1 < len(cuts) else end, o) for i, (u, o) in enumerate(cuts)]
+    out = []
+    for y in range(first, last + 1):
+        a, b = (int(datetime(y + k, 1, 1, tzinfo=UTC).timestamp()) for k in (0, 1))
+        out.append((y, [{"ls": u + o, "le": v + o, "us": u, "ue": v, "off": o} for u, v, o in spans if v + 86400 > a and u - 86400 < b]))
+    return out
+
+
 def zone_offsets(zones: DataFrame, zone: str, first: int = 1900, last: int = 2100) -> DataFrame:
     """The offset intervals of each zone, exploded to calendar years.
 
@@ -43,33 +69,8 @@ def zone_offsets(zones: DataFrame, zone: str, first: int = 1900, last: int = 210
     def build(batches):
         import pandas as pd
 
-        known = available_timezones()
         for pdf in batches:
-            rows = []
-            for name in pdf["zone"]:
-                if name not in known:
-                    continue
-                tz, t, end = ZoneInfo(name), datetime(first - 1, 12, 1, tzinfo=UTC), datetime(last + 1, 2, 1, tzinfo=UTC)
-                off = lambda x, tz=tz: int(x.astimezone(tz).utcoffset().total_seconds())
-                cuts, now = [(int(t.timestamp()), off(t))], off(t)
-                while t < end:
-                    n = t + timedelta(days=1)
-                    if off(n) != now:
-                        a, b = t, n
-                        while b - a > timedelta(seconds=1):
-                            mid = a + (b - a) // 2
-                            mid -= timedelta(microseconds=mid.microsecond)
-                            if off(mid) == now:
-                                a = mid
-                            else:
-                                b = mid
-                        now = off(b)
-                        cuts.append((int(b.timestamp()), now))
-                    t = n
-                spans = [(u, cuts[i + 1][0] if i + 1 < len(cuts) else int(end.timestamp()), o) for i, (u, o) in enumerate(cuts)]
-                for y in range(first, last + 1):
-                    a, b = (int(datetime(y + k, 1, 1, tzinfo=UTC).timestamp()) for k in (0, 1))
-                    rows.append((name, y, [{"ls": u + o, "le": v + o, "us": u, "ue": v, "off": o} for u, v, o in spans if v + 86400 > a and u - 86400 < b]))
+            rows = [(name, *r) for name in pdf["zone"] for r in spans_by_year(name, first, last)]
             yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
     names = zones.select(F.col(zone).alias("zone")).where(F.col("zone").isNotNull()).distinct()
@@ -133,9 +134,10 @@ def normalise_times(df: DataFrame, text: str, feed: str, place: str, feeds: Data
     spans = zone_offsets(zones, "zone")
     spans = F.broadcast(spans)  # at most 600 IANA names x 201 years
     keep = [c for c in df.columns if c not in ("utc_second", "local_day", "time_status")]
-    x = df.select(*keep, fips5(F.col(place)).alias("_code0"))
-    x = x.join(small(feeds), x[feed] == F.col("_fid"), "left").join(small(places), F.col("_code0") == F.col("_code"), "left")
-    x = x.withColumn("_p", wall_parts(F.col(text), F.col("_df")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")  # as one column, so that no name of df's can clash with those made here
+    x = df.select(whole, F.col(feed).alias("_feed"), F.col(text).alias("_text"), fips5(F.col(place)).alias("_code0"))
+    x = x.join(small(feeds), F.col("_feed") == F.col("_fid"), "left").join(small(places), F.col("_code0") == F.col("_code"), "left")
+    x = x.withColumn("_p", wall_parts(F.col("_text"), F.col("_df")))
     x = x.withColumns(_resolve_parts(F.col("_p")))
     zone = F.when(F.col("_fz") == "COUNTY", F.col("_tz")).otherwise(F.col("_fz"))
     need = F.col("_p.count").isNull() & F.col("_wall").isNotNull() & ~F.col("_zoned")
@@ -156,4 +158,4 @@ def normalise_times(df: DataFrame, text: str, feed: str, place: str, feeds: Data
         .when(F.size("_hits") == 0, "nonexistent")
         .otherwise("unreadable")
     )
-    return x.select(*keep, "utc_second", local.alias("local_day"), status.alias("time_status"))
+    return x.select("_row.*", "utc_second", local.alias("local_day"), status.alias("time_status"))
