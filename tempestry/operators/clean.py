@@ -25,8 +25,8 @@ def named(df: DataFrame, prefixes: tuple[str, ...] = (), contains: tuple[str, ..
 
 def _long(df: DataFrame, columns: list[str], name: str = "column", value: str = "value") -> DataFrame:
     """columns as rows (column, value double, NaN as null)."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias(name), denan(F.col(c).cast("double")).alias(value)) for c in columns])).alias("_x")
-    return df.select(pairs).select("_x.*")
+    pairs = F.array(*[F.struct(F.lit(c).alias(name), denan(F.col(c).cast("double")).alias(value)) for c in columns])
+    return df.select(F.explode(pairs.cast(f"array<struct<`{name}`:string,`{value}`:double>>")).alias("_x")).select("_x.*")
 
 
 def null_flags(df: DataFrame) -> dict[str, Column]:
