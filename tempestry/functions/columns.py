@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """df with cols, each evaluated once a row however often it is used above.
+
+    A one-row generator stands between: the optimizer merges projections that only take parts out of a struct, and would
+    then repeat costly expressions (regular expressions, JSON) at every use; across a generator it doesn't."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def denan(c: Column) -> Column:
     """NaN becomes null; everything else stays."""
     return F.when(~F.isnan(c), c)

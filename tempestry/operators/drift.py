@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempestry.functions.columns import fips5
+from tempestry.functions.columns import fips5, once
 from tempestry.session import small
 
 #: What a mapping of delivered to canonical names may hold; it becomes part of the plan.
@@ -33,8 +33,9 @@ def json_type(v: Column) -> Column:
 
 def _plain(v: Column) -> Column:
     """The value as text; one in an array of one, or under v, name or value of an object, is taken out."""
+    text = F.try_variant_get(v, "$", "string")
     inner = F.coalesce(*[F.try_variant_get(v, p, "string") for p in ("$.v", "$.name", "$.value", "$[0]")])
-    return F.when(json_type(v).isin("object", "array"), inner).otherwise(F.try_variant_get(v, "$", "string"))
+    return F.when(text.rlike(r"^[\[{]"), F.when(json_type(v).isin("object", "array"), inner).otherwise(text)).otherwise(text)
 
 
 def _moment(t: Column) -> Column:
@@ -80,13 +81,15 @@ def rescue_ingest(df: DataFrame, payload: str, names: dict[str, list[str]], targ
     m = F.col("__map")
     keep = [c for c in (keep if keep is not None else df.columns) if c not in {payload, *target, "_rescued"}]
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row") if keep else F.lit(None).alias("__row")  # as one column: no name of df's can clash
-    x = df.select(row, F.col(payload).alias("__payload"), json_fields(F.col(payload)).alias("__map"))
     known = {f: list(dict.fromkeys([f, *names.get(f, [])])) for f in target}
-    fields = {f: _typed(m, known[f], kind) for f, kind in target.items()}
-    x = x.select("__row", "__payload", "__map", *[c.alias(f) for f, c in fields.items()])
-    failed = [F.when(CASTS[target[f]](_plain(F.try_element_at(m, F.lit(n)))).isNull(), F.lit(n)) for f in target for n in known[f]]
-    lost = F.array_compact(F.array(*failed))
-    allowed = F.array(*[F.lit(n) for f in target for n in known[f]])
+    every = [(f, n) for f in target for n in known[f]]
+    x = once(df.select(row, F.col(payload).alias("__payload")), {"__map": json_fields(F.col("__payload"))})
+    x = once(x, {f"__t{i}": _plain(F.try_element_at(m, F.lit(n))) for i, (_, n) in enumerate(every)})
+    cast = once(x, {f"__c{i}": CASTS[target[f]](F.col(f"__t{i}")) for i, (f, _) in enumerate(every)})
+    fields = [F.coalesce(*[F.col(f"__c{i}") for i, (g, _) in enumerate(every) if g == f]).alias(f) for f in target]
+    lost = F.array_compact(F.array(*[F.when(F.col(f"__c{i}").isNull(), F.lit(n)) for i, (_, n) in enumerate(every)]))
+    x = once(cast.select("__row", "__payload", "__map", *fields, lost.alias("__lost")), {"__kept": F.col("__lost")})
+    lost, allowed = F.col("__kept"), F.array(*[F.lit(n) for _, n in every])
     rest = F.map_filter(m, lambda k, v: (~F.array_contains(allowed, k) | F.array_contains(lost, k)) & json_type(v).isNotNull())
     broken = F.when(m.isNull() & F.col("__payload").isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col("__payload"))))
     rescued = F.coalesce(F.when(F.size(rest) > 0, F.to_json(rest)), broken)

@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempestry.functions.columns import fips5
+from tempestry.functions.columns import fips5, once
 from tempestry.session import small
 
 # Zone letters of the United States and their seconds from UTC.
@@ -77,41 +77,39 @@ def zone_offsets(zones: DataFrame, zone: str, first: int = 1900, last: int = 210
     return names.mapInPandas(build, "zone string, year int, spans array<struct<ls:bigint,le:bigint,us:bigint,ue:bigint,off:int>>")
 
 
-def wall_parts(text: Column, day_first: Column) -> Column:
-    """struct(count, wall, off, zoned): a bare count's UTC second, or the wall second and the offset written with it.
+def parsed(df: DataFrame, text: Column, day_first: Column) -> DataFrame:
+    """df with _count (a bare count's UTC second), _wall (the wall second), _zoned (the text carries a zone) and _off (that zone's
+    seconds from UTC).
 
-    wall is null where the text is in none of the forms or names a day or time of day that doesn't exist. zoned: the
-    text carries a zone; off is null where its letters are none of the United States or the offset is over 18 hours."""
-    t = F.regexp_replace(F.upper(F.trim(F.regexp_replace(text, r"[\s ]+", " "))), "^[\"']|[\"']$", "")
-    digits = t.rlike(r"^-?\d+(\.\d+)?$")
-    whole = F.regexp_replace(t, r"\..*$", "")
-    count = F.lit(None).cast("bigint")
-    for n, per in _COUNTS.items():
-        count = F.when(digits & whole.rlike(rf"^-?\d{{{n}}}$"), F.floor(whole.try_cast("decimal(20,0)") / per).cast("bigint")).otherwise(count)
+    _wall is null where the text is in none of the forms or names a day or time of day that doesn't exist; _off where its letters
+    are none of the United States or the offset is over 18 hours. Each step's columns are evaluated once."""
+    t, s = F.col("_t"), F.col("_s")
+    df = once(df, {"_t": F.regexp_replace(F.upper(F.trim(F.regexp_replace(text, r"[\s\xa0]+", " "))), "^[\"']|[\"']$", "")})
     form = F.lit(None).cast("string")
     for pattern, groups in reversed(_FORMS):
         form = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, groups)).otherwise(form)
-    return F.struct(count.alias("count"), form.alias("form"), F.coalesce(day_first, F.lit(False)).alias("day_first"))
-
-
-def _resolve_parts(p: Column) -> dict[str, Column]:
-    s = F.split(p["form"], r"\|", -1)
+    count = F.when(t.rlike(r"^-?\d{9,19}(\.\d+)?$"), F.regexp_replace(t, r"\..*$", ""))
+    df = once(df, {"_s": F.split(form, r"\|", -1), "_digits": count})
+    units = F.create_map(*[F.lit(x) for kv in _COUNTS.items() for x in kv])
+    per = F.try_element_at(units, F.length(F.replace(F.col("_digits"), F.lit("-"), F.lit(""))))
+    swap = (s[3] == "N") & F.coalesce(day_first, F.lit(False))
     num = lambda c: F.when(c == "", 0).otherwise(c.try_cast("int"))
-    swap = (s[3] == "N") & p["day_first"]
-    month, dom = F.when(swap, s[2]).otherwise(s[1]), F.when(swap, s[1]).otherwise(s[2])
-    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month)
-    month = F.when(month.rlike("^[A-Z]"), named.cast("string")).otherwise(month)
-    day = F.concat_ws("-", s[0], F.lpad(month, 2, "0"), F.lpad(dom, 2, "0")).try_cast("date")
-    half, h, mi, sec = F.replace(s[7], F.lit("."), F.lit("")), num(s[4]), num(s[5]), num(s[6])
-    hour = F.when(half == "", F.when(h < 24, h)).otherwise(F.when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0)))
-    wall = F.when((mi < 60) & (sec < 60), F.datediff(day, F.lit(EPOCH).cast("date")).cast("bigint") * 86400 + hour * 3600 + mi * 60 + sec)
-    z = s[8]
-    bare = F.regexp_replace(z, "^(UTC|GMT)(?=[+-])", "")
+    df = once(df, {
+        "_count": F.floor(F.col("_digits").try_cast("decimal(20,0)") / per).cast("bigint"),
+        "_mo": F.when(swap, s[2]).otherwise(s[1]), "_dom": F.when(swap, s[1]).otherwise(s[2]),
+        "_h": num(s[4]), "_mi": num(s[5]), "_sec": num(s[6]), "_half": F.substring(s[7], 1, 1), "_z": s[8], "_bare": F.regexp_replace(s[8], "^(UTC|GMT)(?=[+-])", ""),
+    })
+    mo, h, bare = F.col("_mo"), F.col("_h"), F.col("_bare")
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), mo)
+    month = F.when(mo.rlike("^[A-Z]"), named.cast("string")).otherwise(mo)
+    day = F.datediff(F.concat_ws("-", s[0], F.lpad(month, 2, "0"), F.lpad("_dom", 2, "0")).try_cast("date"), F.lit(EPOCH).cast("date"))
+    hour = F.when(F.col("_half") == "", F.when(h < 24, h)).otherwise(F.when(h.between(1, 12), h % 12 + F.when(F.col("_half") == "P", 12).otherwise(0)))
+    wall = F.when((F.col("_mi") < 60) & (F.col("_sec") < 60), day.cast("bigint") * 86400 + hour * 3600 + F.col("_mi") * 60 + F.col("_sec"))
     digits = F.regexp_replace(bare, r"\D", "")
     written = (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60) * F.when(bare.startswith("-"), -1).otherwise(1)
-    letters = F.create_map(*[x for k, v in US_ZONES.items() for x in (F.lit(k), F.lit(v))])[z]
-    off = F.when(bare.rlike(r"^[+-]\d"), F.when(F.abs(written) <= 18 * 3600, written)).otherwise(letters)
-    return {"_wall": wall, "_zoned": z != "", "_off": off}
+    letters = F.try_element_at(F.create_map(*[F.lit(x) for kv in US_ZONES.items() for x in kv]), F.col("_z"))
+    df = once(df, {"_wall": wall, "_written": F.when(bare.rlike(r"^[+-]\d"), written), "_letters": letters})
+    return df.withColumns({"_zoned": F.col("_z") != "", "_off": F.coalesce(F.when(F.abs("_written") <= 18 * 3600, F.col("_written")), F.col("_letters"))})
 
 
 def normalise_times(df: DataFrame, text: str, feed: str, place: str, feeds: DataFrame, places: DataFrame) -> DataFrame:
@@ -135,22 +133,21 @@ def normalise_times(df: DataFrame, text: str, feed: str, place: str, feeds: Data
     spans = F.broadcast(spans)  # at most 600 IANA names x 201 years
     keep = [c for c in df.columns if c not in ("utc_second", "local_day", "time_status")]
     whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")  # as one column, so that no name of df's can clash with those made here
-    x = df.select(whole, F.col(feed).alias("_feed"), F.col(text).alias("_text"), fips5(F.col(place)).alias("_code0"))
+    x = once(df.select(whole, F.col(feed).alias("_feed"), F.col(text).alias("_text"), F.col(place).alias("_place")), {"_code0": fips5(F.col("_place"))})
     x = x.join(small(feeds), F.col("_feed") == F.col("_fid"), "left").join(small(places), F.col("_code0") == F.col("_code"), "left")
-    x = x.withColumn("_p", wall_parts(F.col("_text"), F.col("_df")))
-    x = x.withColumns(_resolve_parts(F.col("_p")))
+    x = parsed(x, F.col("_text"), F.col("_df"))
     zone = F.when(F.col("_fz") == "COUNTY", F.col("_tz")).otherwise(F.col("_fz"))
-    need = F.col("_p.count").isNull() & F.col("_wall").isNotNull() & ~F.col("_zoned")
+    need = F.col("_count").isNull() & F.col("_wall").isNotNull() & ~F.col("_zoned")
     x = x.withColumn("_zone", F.when(need, zone)).withColumn("_year", F.year(F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.col("_wall") / 86400).cast("int"))))
     x = x.join(spans.select(F.col("zone").alias("_z1"), F.col("year").alias("_y1"), F.col("spans").alias("_s1")), (F.col("_zone") == F.col("_z1")) & (F.col("_year") == F.col("_y1")), "left")
     hits = F.filter("_s1", lambda i: (i["ls"] <= F.col("_wall")) & (F.col("_wall") < i["le"]))
-    x = x.withColumn("_hits", F.when(need & F.col("_s1").isNotNull(), hits))
-    utc = F.coalesce(F.col("_p.count"), F.when(F.col("_zoned"), F.col("_wall") - F.col("_off")).otherwise(F.when(F.size("_hits") == 1, F.col("_wall") - F.get("_hits", F.lit(0))["off"])))
-    x = x.withColumn("utc_second", F.when(F.col("_code").isNotNull(), utc))
+    x = once(x.withColumn("_need", need), {"_hits": F.when(F.col("_need") & F.col("_s1").isNotNull(), hits)}).drop("_s1")
+    utc = F.coalesce(F.col("_count"), F.when(F.col("_zoned"), F.col("_wall") - F.col("_off")).otherwise(F.when(F.size("_hits") == 1, F.col("_wall") - F.get("_hits", F.lit(0))["off"])))
+    x = once(x, {"utc_second": F.when(F.col("_code").isNotNull(), utc)})
     x = x.withColumn("_uy", F.year(F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.col("utc_second") / 86400).cast("int"))))
     x = x.join(spans.select(F.col("zone").alias("_z2"), F.col("year").alias("_y2"), F.col("spans").alias("_s2")), (F.col("_tz") == F.col("_z2")) & (F.col("_uy") == F.col("_y2")), "left")
-    there = F.get(F.filter("_s2", lambda i: (i["us"] <= F.col("utc_second")) & (F.col("utc_second") < i["ue"])), F.lit(0))["off"]
-    local = F.date_add(F.lit(EPOCH).cast("date"), F.floor((F.col("utc_second") + there) / 86400).cast("int"))
+    x = once(x, {"_there": F.get(F.filter("_s2", lambda i: (i["us"] <= F.col("utc_second")) & (F.col("utc_second") < i["ue"])), F.lit(0))["off"]})
+    local = F.date_add(F.lit(EPOCH).cast("date"), F.floor((F.col("utc_second") + F.col("_there")) / 86400).cast("int"))
     status = (
         F.when(F.col("_code").isNull(), "unknown_place")
         .when(F.col("utc_second").isNotNull(), "ok")
