@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.session import cut
@@ -75,29 +75,40 @@ def fill_from_similar(
     fields and further numeric features; a missing number gets the median, a missing category the mode (ties: the
     lower), of the first of these that has at least `support` values: entity_month_cluster, entity_cluster,
     entity_month, entity, then of any size day_cluster, day, cluster, all. `unfilled`: no record at all has the
-    field. Medians are sketches of bounded size (relative rank error 1/10,000), so a group that holds a third of
-    the rows is no heavier than another, and all are combined before the shuffle. Rows with a null entity or day are
-    left out."""
+    field. Medians are sketches of bounded size (relative rank error 1/10,000). Rows with a null entity or day are
+    left out.
+
+    The four levels of an entity are windows in one partitioning (an entity's group is bounded by the calendar, as it has
+    one row a day); the two of a day are one aggregate per day, combined on the map side, with an array over the k clusters,
+    and one join; the last two are k + 1 rows that become part of the plan."""
     fields = [*numeric, *categorical]
     extra = [f for f in features or [] if f not in fields]
     x = df.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(F.col(entity).alias("_e"), F.col(day).cast("date").alias("_d"), *fields, *extra)
     x = cut(x.withColumn("_month", F.month("_d")))
     model = fit_prototypes(x, [*numeric, *extra], categorical, k)
     x = x.withColumn("_cluster", model.assign())
-    levels = [("entity_month_cluster", ["_e", "_month", "_cluster"], support), ("entity_cluster", ["_e", "_cluster"], support), ("entity_month", ["_e", "_month"], support), ("entity", ["_e"], support), ("day_cluster", ["_d", "_cluster"], 1), ("day", ["_d"], 1), ("cluster", ["_cluster"], 1), ("all", [], 1)]
-    out, names = x, []
-    for i, (name, keys, least) in enumerate(levels):
-        aggs = [F.when(F.count(f) >= least, F.percentile_approx(f, 0.5, 10_000)).alias(f"_{i}_{f}") for f in numeric]
-        aggs += [F.when(F.count(f) >= least, F.mode(F.col(f), True)).alias(f"_{i}_{f}") for f in categorical]
-        stats = x.groupBy(*keys).agg(*aggs) if keys else x.agg(*aggs)
-        out = out.join(stats, keys, "left") if keys else out.crossJoin(F.broadcast(stats))  # one row
-        names.append(name)
+    middle = lambda f, c: F.percentile_approx(c, 0.5, 10_000) if f in numeric else F.mode(c, True)
+    last = {r["_cluster"]: r for r in x.rollup("_cluster").agg(*[middle(f, F.col(f)).alias(f) for f in fields]).collect()}  # k + 1 rows
+    clusters = sorted(c for c in last if c is not None)
+    size = max(clusters, default=0) + 1
+    by_day = x.groupBy("_d").agg(*[middle(f, F.col(f)).alias(f"_day_{f}") for f in fields], *[F.array(*[middle(f, F.when(F.col("_cluster") == c, F.col(f))) for c in range(size)]).alias(f"_dc_{f}") for f in fields])
+    levels = {"entity_month_cluster": ["_e", "_month", "_cluster"], "entity_cluster": ["_e", "_cluster"], "entity_month": ["_e", "_month"], "entity": ["_e"]}
+    x = x.repartition("_e")
+    for i, keys in enumerate(levels.values()):
+        w = Window.partitionBy(*keys)
+        x = x.withColumns({f"_{i}_{f}": F.when(F.count(f).over(w) >= support, middle(f, F.col(f)).over(w)) for f in fields})
+    x = x.join(by_day, "_d", "left")
     cols = []
     for f in fields:
-        cols.append(F.coalesce(F.col(f), *[F.col(f"_{i}_{f}") for i in range(len(levels))]).alias(f))
-        how = F.coalesce(*[F.when(F.col(f"_{i}_{f}").isNotNull(), n) for i, n in enumerate(names)], F.lit("unfilled"))
+        literal = lambda c: F.lit(last[c][f] if c in last else None)  # noqa: B023, E731
+        near = F.lit(None)
+        for c in clusters:
+            near = F.when(F.col("_cluster") == c, literal(c)).otherwise(near)
+        steps = [(n, F.col(f"_{i}_{f}")) for i, n in enumerate(levels)] + [("day_cluster", F.get(f"_dc_{f}", F.col("_cluster"))), ("day", F.col(f"_day_{f}")), ("cluster", near), ("all", literal(None))]
+        cols.append(F.coalesce(F.col(f), *[c for _, c in steps]).alias(f))
+        how = F.coalesce(*[F.when(c.isNotNull(), n) for n, c in steps], F.lit("unfilled"))
         cols.append(F.when(F.col(f).isNull(), how).alias(f"{f}_fill"))
-    return out.select(F.col("_e").alias(entity), F.col("_d").alias(day), *cols)
+    return x.select(F.col("_e").alias(entity), F.col("_d").alias(day), *cols)
 
 
 def usable_wind(c: Column) -> Column:
