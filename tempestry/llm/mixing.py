@@ -60,10 +60,11 @@ def running_total(df: DataFrame, group: list[str], order: list, value: str, name
     return out.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_base", "_bucket")
 
 
-def pack(counted: DataFrame, block_tokens: int, seed: int = 0, buckets: int = 64) -> DataFrame:
+def pack(counted: DataFrame, block_tokens: int, seed: int = 0, bucket_rows: int = 20_000) -> DataFrame:
     """Documents of each source laid end to end, in an order drawn by hash, and cut into blocks of block_tokens: source, block,
     doc_id, token_from, token_to (of the document). A document may lie in several blocks; the last block of a source may be
-    short; nothing is left out."""
+    short; nothing is left out. Buckets of the order hold about bucket_rows documents, however large a source is."""
+    buckets = max(16, counted.count() // bucket_rows)
     order = F.xxhash64(F.lit(seed), "doc_id")
     x = running_total(counted.where("n_tokens > 0"), ["source"], [order, "doc_id"], "n_tokens", "_at", F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets)))
     first, end = F.floor(F.col("_at") / block_tokens), F.col("_at") + F.col("n_tokens")

@@ -46,7 +46,7 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SEL
 dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)""",
     "p10_found": """
-WITH g AS (SELECT doc_id, hash(text[k:k + 299]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents)),
+WITH g AS (SELECT doc_id, md5_number(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents)),
 s AS (SELECT DISTINCT doc_id, h FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
