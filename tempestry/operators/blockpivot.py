@@ -14,16 +14,21 @@ YES = ("Y", "YES", "TRUE", "T", "ON")
 NO = ("N", "NO", "FALSE", "F", "OFF")
 
 
+def _bare(text: Column) -> Column:
+    """text without blanks of any kind around it."""
+    return F.regexp_replace(text, r"^[\s\xa0]+|[\s\xa0]+$", "")
+
+
 def number(text: Column) -> Column:
     """Text as a double in any usual notation: decimal comma or point, sign, exponent, blanks around it; else null."""
-    t = F.trim(text)
+    t = F.replace(_bare(text), F.lit("\u2212"), F.lit("-"))
     plain = t.rlike(r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?$")
     return F.when(plain, F.replace(t, F.lit(","), F.lit(".")).try_cast("double"))
 
 
 def yes_no(text: Column) -> Column:
     """1.0 or 0.0 for a word or letter for yes or no, else null."""
-    t = F.upper(F.trim(text))
+    t = F.upper(_bare(text))
     return F.when(t.isin(*YES), 1.0).when(t.isin(*NO), 0.0)
 
 

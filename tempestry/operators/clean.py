@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions.columns import denan, ffill, interpolate, ordered
+from tempestry.operators.ordered import exact_quantiles, running_totals
 
 NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -155,9 +156,10 @@ class MissingPlan:
 
 
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, q1, q3 (exact, linearly interpolated), from one grouped pass; null where a column has no value."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    return _long(df, columns).groupBy("column").agg(q.alias("_q")).select("column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
+    """column, q1, q3 (exact, linearly interpolated); null where a column has no value."""
+    q = exact_quantiles(_long(df, columns), ["column"], "value", [0.25, 0.75])
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(F.broadcast(q), "column", "left").select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))  # one row a column
 
 
 def outlier_counts(df: DataFrame, columns: list[str], skip_flat: bool = False, k: float = 1.5) -> DataFrame:
@@ -194,8 +196,8 @@ def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
 def label_encode(df: DataFrame, column: str, out: str | None = None, missing: str = "nan") -> DataFrame:
     """df with the column's code: the rank of its text among the distinct texts, from 0; null counts as the text `missing`."""
     v = F.coalesce(F.col(column).cast("string"), F.lit(missing))
-    codes = df.select(v.alias("_v")).distinct().withColumn("_code", F.dense_rank().over(Window.orderBy("_v")) - 1)  # the distinct texts of one column
-    return df.withColumn("_v", v).join(codes, "_v").withColumn(out or f"{column}_encoded", F.col("_code")).drop("_v", "_code")
+    codes = running_totals(df.select(v.alias("_v")).distinct().withColumn("_one", F.lit(1)), [], ["_v"], {"_one": "_code"})
+    return df.withColumn("_v", v).join(codes, "_v").withColumn(out or f"{column}_encoded", (F.col("_code") - 1).cast("int")).drop("_v", "_code", "_one")
 
 
 def one_hot(df: DataFrame, column: str, drop_first: bool = True, most: int = 10) -> DataFrame:

@@ -23,7 +23,7 @@ def json_type(v: Column) -> Column:
     return (
         F.when(s.isNull() | (s == "VOID"), F.lit(None).cast("string"))
         .when(s == "STRING", "string")
-        .when(s == "BIGINT", "integer")
+        .when((s == "BIGINT") | s.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")
         .when(s == "BOOLEAN", "boolean")
         .when(s.startswith("OBJECT"), "object")
         .when(s.startswith("ARRAY"), "array")

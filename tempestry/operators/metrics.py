@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions.columns import flag
+from tempestry.operators.ordered import exact_quantiles, running_totals
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -50,17 +51,10 @@ def averages(report: DataFrame) -> DataFrame:
 def score_counts(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
     """score, pos, neg per distinct score (and group), with the cumulative counts tp, fp from the highest score down.
 
-    Scores are counted on the map side before any order is needed. The running sums go in two levels: scores fall into buckets by
-    rounding down to 1/256 of a unit, bucket totals are summed first, and only the scores of one bucket meet in a task."""
+    Scores are counted on the map side before any order is needed, then summed up over ranges (see running_totals)."""
     groups = groups or []
     c = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*groups, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    c = c.withColumn("_b", F.floor(F.col("score") * 256))
-    w = Window.partitionBy(*groups).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    b = c.groupBy(*groups, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    b = b.select(*groups, "_b", F.coalesce(F.sum("_p").over(w), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy(*groups, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x = c.join(b, [*groups, "_b"])
-    return x.select(*groups, "score", "pos", "neg", (F.col("_p0") + F.sum("pos").over(inside)).alias("tp"), (F.col("_n0") + F.sum("neg").over(inside)).alias("fp"))
+    return running_totals(c, groups, ["score"], {"pos": "tp", "neg": "fp"}, descending=True)
 
 
 def ranking(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
@@ -108,7 +102,8 @@ def regression(df: DataFrame, actual: str, predicted: str, groups: list[str] | N
 def decile_errors(df: DataFrame, actual: str, predicted: str, bins: int = 10) -> DataFrame:
     """bin (from 0), n, mean_actual, mean_predicted, mae, mape (over non-zero actuals) by quantile of the prediction: intervals closed on the
     right, the lowest on both sides, edges that coincide merged."""
-    edges = df.agg(F.percentile(predicted, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"] or []
+    q = exact_quantiles(df.select(F.col(predicted).cast("double").alias("value")), [], "value", [i / bins for i in range(bins + 1)]).first()
+    edges = q["q"] if q and q["q"][0] is not None else []
     inner = sorted(set(edges))[1:-1]
     b = F.lit(0)
     for e in inner:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.columns import denan
 from tempestry.operators import metrics
+from tempestry.operators.ordered import exact_quantiles
 
 
 def temporal_split(df: DataFrame, year: str, train_to: int, validate: int, test: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,13 +134,13 @@ def undersample(df: DataFrame, label: str, seed: int = 42) -> DataFrame:
 
 def county_medians(df: DataFrame, entity: str, value: str) -> DataFrame:
     """entity, median of the positive values: candidates for a severity threshold."""
-    return df.where(F.col(value) > 0).groupBy(entity).agg(F.percentile(value, 0.5).alias("median"))
+    return exact_quantiles(df.where(F.col(value) > 0), [entity], value, [0.5]).select(entity, F.col("q")[0].alias("median"))
 
 
 def quantile_label(df: DataFrame, value: str, q: float) -> DataFrame:
     """df with severe: 1 at or above the exact quantile of value."""
-    one = df.agg(F.percentile(value, q).alias("_q"))
-    return df.crossJoin(F.broadcast(one)).withColumn("severe", F.coalesce((F.col(value) >= F.col("_q")).cast("int"), F.lit(0))).drop("_q")  # one row
+    one = exact_quantiles(df.select(F.col(value).cast("double").alias("value")), [], "value", [q]).select(F.col("q")[0].alias("_q"))
+    return df.join(F.broadcast(one), F.lit(True), "left").withColumn("severe", F.coalesce((F.col(value) >= F.col("_q")).cast("int"), F.lit(0))).drop("_q")  # one row
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, repeats: int = 10, seed: int = 42) -> DataFrame:

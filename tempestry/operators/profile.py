@@ -8,8 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempestry.functions.columns import average_rank, bias_corrected_skew, denan, flag, pearson
+from tempestry.functions.columns import bias_corrected_skew, denan, flag, pearson
 from tempestry.operators.clean import _long, null_flags
+from tempestry.operators.ordered import average_ranks, exact_quantiles
 
 
 def overview(df: DataFrame, entity: str, day: str) -> DataFrame:
@@ -50,17 +51,19 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, mean, sd, min, q25, q50, q75, max: all columns in one grouped pass; NaN counts as missing."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    x = _long(df, columns).groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max"))
-    return x.select("column", "n", "mean", "sd", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    """column, n, mean, sd, min, q25, q50, q75, max; NaN counts as missing."""
+    long = _long(df, columns)
+    x = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    x = x.join(F.broadcast(exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])), "column", "left")  # one row a column
+    return x.select("column", "n", "mean", "sd", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def scalars(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """One row: n, min, max, mean, median and exact quantiles of a column."""
-    c = denan(F.col(column).cast("double"))
-    q = [F.percentile(c, p).alias(f"q{round(p * 1000):04d}") for p in quantiles]
-    return df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), *q)
+    """One row: n, min, max, mean, sd and exact quantiles of a column."""
+    v = df.select(denan(F.col(column).cast("double")).alias("value"))
+    one = v.agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    q = exact_quantiles(v, [], "value", list(quantiles)).select(*[F.col("q")[i].alias(f"q{round(p * 1000):04d}") for i, p in enumerate(quantiles)])
+    return one.join(F.broadcast(q), F.lit(True), "left")  # one row each
 
 
 def distinct_counts(df: DataFrame, columns: list[str], with_null: bool = False) -> DataFrame:
@@ -103,7 +106,7 @@ def target_correlations(df: DataFrame, features: list[str], target: str, spearma
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), denan(F.col(f).cast("double")).alias("x")) for f in features])).alias("_x")
     long = df.select(y.alias("y"), pairs).select("_x.feature", "_x.x", "y").where("x is not null and y is not null")
     if spearman:
-        long = long.select("feature", average_rank(F.col("x"), ["feature"], "x"), average_rank(F.col("y"), ["feature"], "y"))
+        long = average_ranks(average_ranks(long, ["feature"], "x", "rx"), ["feature"], "y", "ry").select("feature", F.col("rx").alias("x"), F.col("ry").alias("y"))
     g = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("r"))
     return g.select("feature", F.when(F.col("n") >= fewest, F.col("r")).alias("r"), "n")
 
@@ -129,7 +132,7 @@ def cross_correlation(df: DataFrame, entity: str, day: str, driver: str, metric:
     x = df.select(F.col(metric).alias("_y"), *[F.lag(driver, k).over(w).alias(f"_{i}") for i, k in enumerate(lags)])
     long = x.select("_y", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_{i}").alias("x")) for i, k in enumerate(lags)])).alias("_x")).select("_x.lag", F.col("_x.x").cast("double").alias("x"), F.col("_y").cast("double").alias("y")).where("x is not null and y is not null")
     if spearman:
-        long = long.select("lag", average_rank(F.col("x"), ["lag"], "x"), average_rank(F.col("y"), ["lag"], "y"))
+        long = average_ranks(average_ranks(long, ["lag"], "x", "rx"), ["lag"], "y", "ry").select("lag", F.col("rx").alias("x"), F.col("ry").alias("y"))
     return long.groupBy("lag").agg(pearson(F.col("x"), F.col("y")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 

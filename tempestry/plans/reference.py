@@ -714,7 +714,7 @@ def i09_zscore(spark, root):
 
 @query(f"WITH {WX} SELECT county_fips, day, (dense_rank() OVER (ORDER BY coalesce(climate_zone, 'nan')) - 1)::INTEGER AS climate_zone_encoded FROM wx")
 def i10_label_encode(spark, root):
-    return clean.label_encode(wx(spark, root), "climate_zone").select(*KEY, F.col("climate_zone_encoded").cast("int").alias("climate_zone_encoded"))
+    return clean.label_encode(wx(spark, root), "climate_zone").select(*KEY, "climate_zone_encoded")
 
 
 @query("WITH s AS (SELECT id, name, CASE WHEN elevation < 150 THEN 'low' WHEN elevation < 400 THEN 'mid' WHEN elevation IS NOT NULL THEN 'top' END AS band FROM stations) SELECT id, coalesce(band = 'mid', false) AS band_mid, coalesce(band = 'top', false) AS band_top FROM s")

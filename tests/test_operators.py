@@ -461,3 +461,26 @@ def test_streams_match_batch(spark, tmp_path):
         q.awaitTermination(120)
         got = sorted(map(tuple, spark.table(name).collect()))
         assert got == sorted(map(tuple, make(s).collect())) and got
+
+
+def test_order_statistics(spark):
+    import random
+
+    import numpy as np
+
+    from tempestry.operators import ordered
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.choice([None, float(rng.randint(0, 9)), rng.gauss(0, 3)])) for _ in range(400)] + [("c", None), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: r["q"] for r in ordered.exact_quantiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for k in ("a", "b"):
+        assert got[k] == pytest.approx(list(np.quantile([v for x, v in data if x == k and v is not None], [0, 0.25, 0.5, 0.9, 1])))
+    assert "c" not in got
+    vals = [v for x, v in data if x == "a" and v is not None]
+    ranks = {(r["k"], r["v"]): r["r"] for r in ordered.average_ranks(df, ["k"], "v", "r").collect()}
+    for v in vals[:50]:
+        assert ranks["a", v] == sum(x < v for x in vals) + (sum(x == v for x in vals) + 1) / 2
+    whole = ordered.exact_quantiles(df, [], "v", [0.5]).first()["q"][0]
+    assert whole == pytest.approx(np.median([v for _, v in data if v is not None]))
+    assert ordered.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
