@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm.fmindex import mix
+from tempestry.session import ship
 
 WORD = re.compile(r"[^\W_]+")
 # Words that stand for a unit of measurement.
@@ -159,6 +160,7 @@ def template_matches(docs: DataFrame, items: DataFrame, n: int = 12, common: int
     Items are sorted by id into blocks of ITEM_BLOCK; a block's index of template windows is broadcast (its size is bounded by
     the block) and hash-joined with the windows of all documents in one pass over the texts without a shuffle."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null and text is not null")
     schema = "doc_id bigint, item_id bigint, verbatim int, templates int, consistent int, item_windows int"
     parts, last = [], None

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.llm.fmindex import mix
-from tempestry.session import cut
+from tempestry.session import cut, ship
 
 #: Folder of the public tokenizers' vocabularies, and the vocabulary used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -36,6 +36,7 @@ def encoding(path: str):
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """The columns keep, and n_tokens of the whole text (0 for null)."""
     types = dict(docs.dtypes)
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
@@ -102,6 +103,7 @@ def plan_mix(pieces: DataFrame, counted: DataFrame, targets: DataFrame, block_to
     source's blocks for that epoch; slots of epochs beyond max_repeats stay empty, which is a source's shortfall. Null or
     negative shares count as 0, a null max_repeats as 1; sources that no document has get nothing and are reported."""
     spark = targets.sparkSession
+    ship(spark)
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(1)), F.lit(0)).alias("max_repeats"))
     supply = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     s = t.join(supply, "source", "left").fillna(0, ["tokens", "documents"]).orderBy("source")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.llm import fmindex
-from tempestry.session import cut
+from tempestry.session import cut, ship
 
 #: Copies are broadcast up to so many rows (8 bytes each), counted beforehand; beyond, the join shuffles.
 BROADCAST_COPIES = 1_000_000
@@ -138,6 +138,7 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, least: int = 300, gram
     backward search over its wavelet matrix gives the matching statistics of every piece that is streamed against it. A key
     with more than `hot` occurrences is split: its pieces are indexed in blocks, and each is streamed against every block.
     Anchors are shuffled once, texts once, pieces once."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
     copies = cut(text_classes(docs, "doc_id", "text"))
     extra = copies.where("doc_id <> rep").select("doc_id")
