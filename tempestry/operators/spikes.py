@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Measure:
     """How one numeric field behaves: its physical range, whether its level follows the season, whether it has a lower
-    tail, and whether zeros stand apart (rain: only wet days make the tail)."""
+    tail, whether zeros stand apart (rain: only wet days make the tail), and the risk at which its tail is cut: heavy tails are
+    cut farther out."""
 
     name: str
     low: float
@@ -19,22 +20,33 @@ class Measure:
     seasonal: bool = False
     two_sided: bool = False
     zero_apart: bool = False
+    risk: float = 3e-6
 
 
 # World records of air temperature (deg C), wind gust (m/s) and rain in a day (mm), rounded outwards.
 WEATHER_MEASURES = (
     Measure("TMAX", -90.0, 57.0, seasonal=True, two_sided=True),
     Measure("WSF5", 0.0, 114.0),
-    Measure("PRCP", 0.0, 1900.0, zero_apart=True),
+    Measure("PRCP", 0.0, 1900.0, zero_apart=True, risk=3e-7),
 )
 
 
+def _tail_cutoff(q: Column, beyond: float, risk: Column, max_shape: float) -> Column:
+    """The value that one reading in 1/risk passes, by a generalised Pareto tail over q[0], which a share `beyond` of the readings exceeds.
+
+    q[1] and q[2] halve and quarter that share: their ratio gives the shape, held in [0, max_shape], the first the scale."""
+    half, upper = q[1] - q[0], q[2] - q[0]
+    shape = F.greatest(F.lit(1e-6), F.least(F.lit(max_shape), F.coalesce(F.when(upper > half, F.log2(F.try_divide(upper - half, half))), F.lit(0.0))))
+    floor = F.greatest(half, F.lit(0.05))  # a source without scatter keeps the instruments' resolution as its scale
+    scale = floor * shape / (F.pow(F.lit(2.0), shape) - 1)
+    return q[0] + scale / shape * (F.pow(risk / beyond, -shape) - 1)
+
+
 def flag_readings(
     df: DataFrame,
     source: str,
     day: str,
     measures: tuple[Measure, ...] = WEATHER_MEASURES,
-    risk: float = 3e-6,
     season_days: int = 15,
     stuck: int = 5,
     max_shape: float = 0.05,
@@ -46,8 +58,9 @@ def flag_readings(
     `spike`: peaks over threshold. The residual is the reading less the source's median of the season (+- season_days
     around that day of the year, over all years) or of the source; the threshold u is the 90th percentile of the
     plausible residuals; a generalised Pareto tail is fitted to the excesses over u by their quartiles (shape from
-    the ratio of the upper quartile to the median, held in [0, max_shape]; scale from the median), which a few percent
-    of wrong readings hardly move. The cutoff is the residual which one reading in 1/risk passes. A reading beyond it
+    the ratio of the upper quartile to the median, held in [0, max_shape]; scale from the median), after a first round over
+    the 75th percentile has kept out what lies far beyond, so that wrong readings hardly move the fit. The cutoff is the
+    residual that one reading in 1/risk passes. A reading beyond it
     counts if it stands alone: neither neighbouring reading within two days goes more than half as far to the same
     side, so weather that builds up over days is no case. A source of fewer than min_readings plausible readings
     gets no cutoff. `stuck`: one of at least `stuck` consecutive readings of one value other than 0.
@@ -56,6 +69,7 @@ def flag_readings(
     All windows share the partitioning (source, field): one shuffle. Such a group is bounded by the calendar, as
     there is one reading a day."""
     names = [m.name for m in measures]
+    risk = F.create_map(*[x for m in measures for x in (F.lit(m.name), F.lit(m.risk))])[F.col("field")]
     value = F.col("value")
     any_of = lambda pick: F.col("field").isin([m.name for m in measures if pick(m)] or [""])
     low = F.create_map(*[x for m in measures for x in (F.lit(m.name), F.lit(m.low))])[F.col("field")]
@@ -86,12 +100,11 @@ def flag_readings(
     long = long.where(~F.col("_ghost")).withColumn("residual", value - F.col("_level"))
     side = F.when(any_of(lambda m: m.two_sided), F.abs("residual")).otherwise(F.col("residual"))
     long = long.withColumn("_x", side).withColumn("_fit", F.when(fits.isNotNull(), F.col("_x")))
+    # First round from the third quartile, where even a tenth of wrong readings leaves the fit alone; what it cuts off is kept out of the second.
+    long = long.withColumn("_q", F.percentile("_fit", F.array(F.lit(0.75), F.lit(0.875), F.lit(0.9375))).over(group))
+    long = long.withColumn("_fit", F.when(F.col("_x") <= _tail_cutoff(F.col("_q"), 0.25, risk, max_shape), F.col("_fit")))
     long = long.withColumn("_q", F.percentile("_fit", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.975))).over(group)).withColumn("_n", F.count("_fit").over(group))
-    u, half, upper = F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0], F.col("_q")[2] - F.col("_q")[0]
-    shape = F.greatest(F.lit(1e-6), F.least(F.lit(max_shape), F.coalesce(F.when(upper > half, F.log2(F.try_divide(upper - half, half))), F.lit(0.0))))
-    floor = F.greatest(half, F.lit(0.05))  # a source without scatter keeps the instruments' resolution as its scale
-    scale = floor * shape / (F.pow(F.lit(2.0), shape) - 1)
-    long = long.withColumn("cutoff", F.when(F.col("_n") >= min_readings, u + scale / shape * (F.pow(F.lit(risk / 0.1), -shape) - 1)))
+    long = long.withColumn("cutoff", F.when(F.col("_n") >= min_readings, _tail_cutoff(F.col("_q"), 0.1, risk, max_shape)))
     w = group.orderBy("_d", "value")
 
     def leans(step) -> Column:

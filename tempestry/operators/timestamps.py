@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.functions.columns import fips5, once
-from tempestry.session import small
+from tempestry.session import ship, small
 
 # Zone letters of the United States and their seconds from UTC.
 US_ZONES = {"Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "EST": -18000, "EDT": -14400, "CST": -21600, "CDT": -18000, "MST": -25200, "MDT": -21600, "PST": -28800, "PDT": -25200, "AKST": -32400, "AKDT": -28800, "HST": -36000, "HDT": -32400}
@@ -73,6 +73,7 @@ def zone_offsets(zones: DataFrame, zone: str, first: int = 1900, last: int = 210
             rows = [(name, *r) for name in pdf["zone"] for r in spans_by_year(name, first, last)]
             yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
+    ship(zones.sparkSession)
     names = zones.select(F.col(zone).alias("zone")).where(F.col("zone").isNotNull()).distinct()
     return names.mapInPandas(build, "zone string, year int, spans array<struct<ls:bigint,le:bigint,us:bigint,ue:bigint,off:int>>")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,19 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """df with a broadcast hint if its estimated size is under the limit, else df as it is (the planner then shuffles)."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver found it: once per application it goes to them as a
+    zip file. Every operator that runs Python functions calls this first."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tempestry_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="tempestry-", delete=False) as folder:
+        target = f"{folder}/tempestry.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f"{home.name}/{f.relative_to(home)}")
+        sc.addPyFile(target)
+    sc._tempestry_shipped = True

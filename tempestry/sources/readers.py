@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tempestry.operators.outages import denominators
 from tempestry.operators.weather import union_by_name
+from tempestry.session import ship
 
 # Names under which the snapshot columns are delivered, by canonical name, in order of preference.
 SNAPSHOT_NAMES = {
@@ -159,6 +160,12 @@ class PagedSource(DataSource):
         return PagedReader(dict(self.options))
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format paged_json known to the session."""
+    ship(spark)
+    spark.dataSource.register(PagedSource)
+
+
 def paged(url: str, query: str, limit: int, pause: float, tries: int, headers: dict[str, str], fetch: Callable[[str, dict[str, str]], dict] | None = None) -> Iterator[dict]:
     """The results of all pages. The service answers {"metadata": {"resultset": {"count": n}}, "results": [...]}; without a count, a
     page shorter than limit is the last. Raises after `tries` failures of one page."""

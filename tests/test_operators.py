@@ -445,7 +445,7 @@ def test_paged_source(spark):
 
     server = HTTPServer(("127.0.0.1", 0), H)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    spark.dataSource.register(readers.PagedSource)
+    readers.register(spark)
     df = spark.read.format("paged_json").option("url", f"http://127.0.0.1:{server.server_port}/x").option("queries", "part=0|part=1").option("limit", 5).option("pause", 0.01).load()
     assert sorted(json.loads(r["record"])["i"] for r in df.collect()) == list(range(25))
     server.shutdown()
