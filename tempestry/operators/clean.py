@@ -98,59 +98,62 @@ def mode_of(df: DataFrame, column: str) -> Column:
 
 
 # The columns that each strategy of the standard plan takes, by name.
-RAIN = ("PRCP", "PRCP_lag1d", "PRCP_lag2d", "PRCP_lag3d")
-TEMPERATURE = ("TMAX", "TMIN", "TMAX_lag1d", "TMAX_lag2d", "TMAX_lag3d", "TMIN_lag1d", "TMIN_lag2d", "TMIN_lag3d")
 WIND = ("WSF2", "WSF5", "AWND")
-BINARY = ("heavy_rain", "extreme_rain", "heat_wave", "extreme_heat", "freezing", "extreme_cold", "high_winds", "damaging_winds", "freeze_thaw_cycle", "light_rain", "moderate_rain", "wet_period_indicator", "ice_storm_risk", "wet_windy_combo", "heat_demand_stress", "multiple_extremes")
+BINARY = ("heavy_rain", "extreme_rain", "heat_wave", "extreme_heat", "freezing", "extreme_cold", "high_winds", "damaging_winds", "winter_freeze", "summer_heat", "spring_storms", "ice_storm_risk", "wet_windy_combo", "heat_demand_stress", "light_rain", "moderate_rain")
 OUTAGE = ("any_out", "num_out_per_day", "minutes_out", "customers_out", "customers_out_mean", "cust_minute_area", "pct_out_max", "pct_out_area", "pct_out_area_unified", "pct_out_area_covered", "pct_out_max_unified")
-META = ("county_name", "state", "climate_zone", "outage_risk_profile", "year", "month", "season")
-STRESS = ("thermal_stress_index", "mechanical_stress_index", "weather_severity_score")
+META = ("customers_total", "minutes_in_local_day", "snapshot_minutes", "snapshots_count", "minutes_observed", "coverage", "train_mask")
 SMOOTH = ("temp_range_daily", "temp_volatility_3d", "temp_change_1d", "heating_degree_days", "cooling_degree_days", "days_since_rain", "precip_volatility_7d", "wind_acceleration_1d")
+STRESS = ("thermal_stress_index", "mechanical_stress_index", "weather_severity_score")
 
 
 @dataclass
 class MissingPlan:
-    """The standard plan: weather types and rain to 0; temperatures interpolated; winds and smooth features carried forward; further
-    wind features and stress indices to their means; flags and outage measures to 0; metadata carried forward; then what
-    is left: numbers to 0, texts to their mode, booleans to false. fit keeps the means and modes, one row each."""
+    """The standard plan, by groups of columns: weather types, rain and its lags to 0; temperatures and their lags interpolated; winds
+    carried forward; features made of winds and stress indices to their entity's mean; flags and outage measures to 0;
+    outage metadata and smooth features carried forward; then what is left: numbers to 0, texts to their mode, booleans to
+    false, and run_start_time_day to the day. fit keeps the entities' means (a table) and the modes (one row)."""
 
     entity: str
     order: str
-    means: dict[str, float] = field(default_factory=dict)
+    means: Means | None = None
     modes: dict[str, str] = field(default_factory=dict)
 
     def _split(self, df: DataFrame) -> dict[str, list[str]]:
         there = lambda names: [c for c in names if c in df.columns]
-        winds = [c for c in named(df, ("WSF2_", "WSF5_", "AWND_"))]
-        return {"zero": named(df, ("WT",)) + there(RAIN) + there(BINARY) + there(OUTAGE), "line": there(TEMPERATURE), "carry": there(WIND) + there(META) + there(SMOOTH), "mean": winds + there(STRESS)}
+        return {
+            "zero": named(df, ("WT", "PRCP_lag")) + there(("PRCP", *BINARY, *OUTAGE)),
+            "line": there(("TMAX", "TMIN")) + named(df, ("TMAX_lag", "TMIN_lag")),
+            "carry": there((*WIND, *META, *SMOOTH)),
+            "mean": named(df, (), ("WSF2_", "WSF5_", "AWND_")) + there(STRESS),
+        }
 
     def fit(self, df: DataFrame) -> MissingPlan:
         cols = self._split(df)["mean"]
         texts = [c for c, t in df.dtypes if t == "string" and c != self.entity]
-        aggs = [F.avg(denan(F.col(c).cast("double"))).alias(f"m_{c}") for c in cols] + [mode_of(df, c).alias(f"t_{c}") for c in texts]
-        row = df.agg(*aggs).first() if aggs else None
-        self.means = {c: row[f"m_{c}"] for c in cols} if row else {}
-        self.modes = {c: row[f"t_{c}"] for c in texts} if row else {}
+        row = df.agg(*[mode_of(df, c).alias(c) for c in texts]).first() if texts else None
+        self.means = Means.fit(df, cols, [self.entity]) if cols else None
+        self.modes = {c: row[c] for c in texts} if row else {}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         plan, types, columns = self._split(df), dict(df.dtypes), df.columns
         w = ordered([self.entity], [self.order])
         clean = lambda c: denan(F.col(c)) if types[c] in ("double", "float") else F.col(c)
-        x = df.withColumn("_rn", F.row_number().over(w)) if plan["line"] else df
-        done = {c: interpolate(clean(c).cast("double"), F.col("_rn"), w) for c in plan["line"]} | {c: ffill(clean(c), w) for c in plan["carry"] if c != self.order}
+        x = self.means.transform(df) if self.means else df
+        x = x.withColumn("_rn", F.row_number().over(w)) if plan["line"] else x
+        done = {c: interpolate(clean(c).cast("double"), F.col("_rn"), w) for c in plan["line"]} | {c: ffill(clean(c), w) for c in plan["carry"]}
         x = x.withColumns(done).drop("_rn")
         last = {}
         for c in columns:
             v = F.col(c) if c in done else clean(c)
-            if c in self.means and self.means[c] is not None:
-                v = F.coalesce(v, F.lit(self.means[c]))
             if types[c] in NUMBERS:
                 v = F.coalesce(v, F.lit(0).cast(types[c]))
             elif types[c] == "boolean":
                 v = F.coalesce(v, F.lit(False))
             elif types[c] == "string" and self.modes.get(c) is not None:
                 v = F.coalesce(v, F.lit(self.modes[c]))
+            elif c == "run_start_time_day" and types[c] == types[self.order]:
+                v = F.coalesce(v, F.col(self.order))
             last[c] = v.alias(c)
         return x.select(*[last[c] for c in columns])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.columns import denan
 from tempestry.operators import metrics
-from tempestry.operators.ordered import exact_quantiles
+from tempestry.operators.ordered import exact_quantiles, running_totals
 
 
 def temporal_split(df: DataFrame, year: str, train_to: int, validate: int, test: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -40,11 +40,11 @@ def stratified_folds(df: DataFrame, label: str, key: list[str], k: int = 5, seed
 
 def rolling_folds(df: DataFrame, order: list[str], k: int = 5) -> DataFrame:
     """df with fold: 0 for the first block, i for the i-th test block of a rolling origin (blocks of n // (k + 1) rows by order, the first
-    takes the rest). Fold i trains on all blocks before it. Positions come from counts per first order column, so that no
-    single task sorts the table."""
+    takes the rest). Fold i trains on all blocks before it. Positions come from running counts per value of the first order
+    column, so that no single task sorts the table. Rows with a null there are left out."""
     first = order[0]
-    w = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct value of the first column
-    base = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c")).select(first, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    base = running_totals(df.groupBy(first).agg(F.count(F.lit(1)).alias("_c")), [], [first], {"_c": "_upto"})
+    base = base.crossJoin(F.broadcast(base.agg(F.sum("_c").alias("_n")))).select(first, (F.col("_upto") - F.col("_c")).alias("_base"), "_n")  # one row
     inside = Window.partitionBy(first).orderBy(*order[1:]) if order[1:] else Window.partitionBy(first).orderBy(F.lit(1))
     x = df.join(base, first).withColumn("_at", F.col("_base") + F.row_number().over(inside) - 1)
     size = F.floor(F.col("_n") / (k + 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tempestry.functions.columns import bias_corrected_skew, denan, flag, pearson
 from tempestry.operators.clean import _long, null_flags
 from tempestry.operators.ordered import average_ranks, exact_quantiles
+from tempestry.session import ship
 
 
 def overview(df: DataFrame, entity: str, day: str) -> DataFrame:
@@ -87,12 +88,45 @@ def skews(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(df, columns).groupBy("column").agg(bias_corrected_skew(F.col("value")).alias("skew"))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for each pair of columns in order, over rows that have both; one pass, whatever the number of pairs."""
+def correlations(df: DataFrame, columns: list[str], few: int = 8) -> DataFrame:
+    """a, b, r for each pair of columns in order, over rows that have both; null without spread.
+
+    Up to `few` columns one aggregate of expressions does it. For more, whose pairs would make an expression too large to
+    compile, each batch of rows gives the sums of all pairs by matrix products (values less their column's mean, so
+    that nothing cancels), and one small aggregate adds them up: one row a pair and task is shuffled."""
     pairs = list(combinations(columns, 2))
     clean = df.select(*[denan(F.col(c).cast("double")).alias(c) for c in columns])
-    one = clean.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("_x")).select("_x.*")
+    if len(columns) <= few:
+        one = clean.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+        rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
+        return one.select(F.explode(rows.cast("array<struct<a:string,b:string,r:double>>")).alias("_x")).select("_x.*")
+    ship(df.sparkSession)
+    means = [m or 0.0 for m in clean.agg(*[F.avg(c) for c in columns]).first()]
+    k = len(columns)
+    sums = "n sx sy sxx syy sxy".split()
+
+    def add(batches):
+        import numpy as np
+        import pandas as pd
+
+        i, j = np.triu_indices(k, 1)
+        total = np.zeros((len(sums), len(i)))
+        for pdf in batches:
+            x = pdf.to_numpy(np.float64) - means
+            m = (~np.isnan(x)).astype(np.float64)
+            x = np.where(m > 0, x, 0.0)
+            sx, sxx = x.T @ m, (x * x).T @ m
+            total += np.stack([(m.T @ m)[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], (x.T @ x)[i, j]])
+        yield pd.DataFrame({"i": i, "j": j} | dict(zip(sums, total, strict=True)))
+
+    g = clean.mapInPandas(add, "i int, j int, " + ", ".join(f"{c} double" for c in sums)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    names, centre = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(float(m)) for m in means])
+    spread = lambda xx, x: F.when(F.col("n") > 0, F.try_divide(F.col(xx), F.col("n")) - F.pow(F.try_divide(F.col(x), F.col("n")), F.lit(2.0)))
+    vx, vy = spread("sxx", "sx"), spread("syy", "sy")
+    tiny = lambda at: F.greatest(F.lit(1.0), F.pow(F.get(centre, F.col(at)), F.lit(2.0))) * 1e-20  # noqa: E731  (rounding, not spread)
+    cov = F.try_divide(F.col("sxy"), F.col("n")) - F.try_divide(F.col("sx"), F.col("n")) * F.try_divide(F.col("sy"), F.col("n"))
+    r = F.when((vx > tiny("i")) & (vy > tiny("j")), cov / F.sqrt(vx * vy))
+    return g.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
 
 
 def high_pairs(df: DataFrame, columns: list[str], least: float = 0.95) -> DataFrame:
@@ -142,10 +176,15 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_{i}").alias("violations")) for i, r in enumerate(rules)])).alias("_x")).select("_x.*")
 
 
-def outage_integrity() -> dict[str, Column]:
-    """The integrity rules of a labelled outage table."""
+def outage_integrity(labelled: bool = False) -> dict[str, Column]:
+    """The integrity rules of a daily outage table; labelled: also those on coverage and unified rates."""
     c = F.col
-    return {
+    more = {
+        "pct_out_area_unified outside 0..1": ~c("pct_out_area_unified").between(0, 1),
+        "pct_out_area_covered outside 0..1": ~c("pct_out_area_covered").between(0, 1),
+        "minutes over the day at full coverage": (c("coverage") >= 1) & (c("minutes_out") > c("minutes_in_local_day")),
+    }
+    return (more if labelled else {}) | {
         "customers_out over total": c("customers_out") > c("customers_total"),
         "pct_out_max outside 0..1": ~c("pct_out_max").between(0, 1),
         "pct_out_area outside 0..1": ~c("pct_out_area").between(0, 1),
@@ -222,8 +261,12 @@ def expected_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, c in df.columns) for c in expected], "column string, present boolean")
 
 
-# Patterns in column names that tell of the outcome, first match wins.
-LEAKS = (("pct_out", "a rate of the outcome"), ("customers_out", "the outcome's size"), ("minutes_out", "the outcome's length"), ("cust_minute", "the outcome's area"), ("num_out", "the outcome's count"), ("any_out", "the outcome"), ("coverage", "made from the outcome"), ("snapshots_count", "made from the outcome"), ("minutes_observed", "made from the outcome"))
+# Parts of column names that tell of the outcome or its measurement, with the reason; the first match wins.
+LEAKS = (
+    *((p, "Operational/measurement timing") for p in ("coverage", "minutes_observed", "snapshots_count", "minutes_in_local_day", "run_start_time_day", "snapshot_minutes")),
+    *((p, "Target/derived-from-target") for p in ("pct_out_max", "pct_out_area", "pct_out_area_unified", "pct_out_area_covered", "pct_out_max_unified", "any_out", "minutes_out", "customers_out", "customers_out_mean", "cust_minute_area")),
+    *((p, "Engineered/explicit target label") for p in ("label", "target", "outage_label", "y_", "_label", "_target")),
+)
 
 
 def leakage_audit(df: DataFrame) -> DataFrame:

@@ -10,16 +10,38 @@ from pyspark.sql import functions as F
 from tempestry.functions.columns import denan, pearson
 from tempestry.operators.profile import LEAKS, correlations
 
-# Parts of names by family, first match wins.
-FAMILIES = (("rain", ("prcp", "rain", "wet", "precip")), ("temperature", ("tmax", "tmin", "temp", "heat", "cold", "freez", "degree", "thermal")), ("wind", ("wsf", "awnd", "wind")), ("calendar", ("month", "season", "day_of", "year")), ("stress", ("stress", "severity", "extreme")), ("outage", ("out", "customers", "minutes", "coverage", "snapshots")))
-
-
-def candidates(df: DataFrame, target: str, exclude: tuple[str, ...] = (), strict: bool = True) -> list[str]:
-    """Numeric and boolean columns that aren't the target, excluded, or (strict) made from the outcome by their name."""
+# Kinds of features by parts of their names (prefixes end in *), first match wins.
+KINDS = (
+    ("weather_base", ("AWND", "PRCP", "TMAX", "TMIN", "WSF2", "WSF5")),
+    ("weather_types", ("WT*",)),
+    ("temporal", ("lag", "_3d_", "_7d_", "_14d_", "day_of_", "month", "year", "season")),
+    ("extreme_indicators", ("extreme", "heavy", "damaging", "high_winds", "freezing", "heat_wave")),
+    ("compound_risks", ("ice_storm", "wet_windy", "multiple_extremes", "thermal_stress", "mechanical_stress")),
+    ("geographic", ("county", "fips", "state", "climate", "risk_profile")),
+)
+# Parts of names (any case) of the families within which correlated features are pruned.
+FAMILIES = {
+    "precip": ("prcp", "precip"),
+    "wind": ("wsf", "awnd", "wind"),
+    "temp": ("tmax", "tmin", "degree_day", "cooling", "heating", "thermal", "temp_"),
+    "flags": ("wt", "heavy_rain", "extreme_rain", "heat_wave", "extreme_heat", "freezing", "extreme_cold", "high_winds", "damaging_winds", "moderate_winds", "strong_winds", "sustained_winds", "rapid_wind_increase", "freeze_thaw_cycle", "wet_period_indicator", "wet_windy_combo", "multiple_extremes", "winter_freeze", "summer_heat", "spring_storms", "ice_storm_risk", "heat_demand_stress", "weather_severity_score"),
+}
+# Columns never used as features.
+EXCLUDED = ("num_out_per_day", "minutes_out", "customers_out", "customers_out_mean", "cust_minute_area", "pct_out_max", "pct_out_area", "pct_out_area_unified", "pct_out_area_covered", "pct_out_max_unified", "train_mask")
+
+
+def candidates(df: DataFrame, target: str, exclude: tuple[str, ...] = EXCLUDED, strict: bool = True) -> list[str]:
+    """Numeric and boolean columns that aren't the target or excluded, nor (strict) found by the leakage audit."""
     kinds = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
     return [c for c, t in df.dtypes if t in kinds and c != target and c not in exclude and not (strict and any(p in c.lower() for p, _ in LEAKS))]
 
 
+def by_family(columns: list[str]) -> dict[str, list[str]]:
+    """The columns of each of FAMILIES (a column may be in several), families of fewer than two left out."""
+    found = {k: [c for c in columns if any(p in c.lower() for p in ps)] for k, ps in FAMILIES.items()}
+    return {k: cs for k, cs in found.items() if len(cs) > 1}
+
+
 def mean_filled(df: DataFrame, features: list[str]) -> DataFrame:
     """features as doubles with missing values at their means (0.0 if a column has none), other columns as they are."""
     clean = {c: denan(F.col(c).cast("double")) for c in features}
@@ -114,10 +136,11 @@ def selections_of(df: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
 
 
 def categorise(feature: Column) -> Column:
-    """The family of a feature's name."""
+    """The kind of a feature by KINDS, else other."""
     c = F.lit("other")
-    for name, parts in reversed(FAMILIES):
-        c = F.when(reduce(lambda a, b: a | b, [F.lower(feature).contains(p) for p in parts]), name).otherwise(c)
+    for name, parts in reversed(KINDS):
+        hit = [F.startswith(feature, F.lit(p[:-1])) if p.endswith("*") else F.contains(feature, F.lit(p)) for p in parts]
+        c = F.when(reduce(lambda a, b: a | b, hit), name).otherwise(c)
     return c
 
 

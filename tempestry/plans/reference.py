@@ -669,10 +669,11 @@ def q28_missing_calendar(spark, root):
 @query(None)
 def q29_family_plan(spark, root):
     x = features.engineer(wx(spark, root), "county_fips", "day")
-    return select_features.family_plan(x, {"rain": ["PRCP", "PRCP_3d_sum", "PRCP_3d_max", "PRCP_7d_sum"], "temperature": ["TMAX", "TMAX_3d_mean", "TMIN", "TMIN_3d_mean"]}, 0.9)
+    names = [c for k in ("raw", "rolling", "temperature") for c in features.GROUPS[k]]
+    return select_features.family_plan(x, select_features.by_family(names), 0.9)
 
 
-@query("SELECT unnest(['any_out', 'num_out_per_day', 'minutes_out', 'customers_out', 'customers_out_mean', 'cust_minute_area', 'pct_out_max', 'pct_out_area']) AS \"column\", unnest(['the outcome', 'the outcome''s count', 'the outcome''s length', 'the outcome''s size', 'the outcome''s size', 'the outcome''s area', 'a rate of the outcome', 'a rate of the outcome']) AS reason")
+@query("SELECT unnest(['run_start_time_day', 'any_out', 'minutes_out', 'customers_out', 'customers_out_mean', 'cust_minute_area', 'pct_out_max', 'pct_out_area']) AS \"column\", unnest(['Operational/measurement timing', 'Target/derived-from-target', 'Target/derived-from-target', 'Target/derived-from-target', 'Target/derived-from-target', 'Target/derived-from-target', 'Target/derived-from-target', 'Target/derived-from-target']) AS reason")
 def q30_leakage_audit(spark, root):
     return profile.leakage_audit(daily(spark, root).select(*outages.DAILY_COLUMNS))
 
@@ -786,10 +787,13 @@ def m08_consensus(spark, root):
     return select_features.consensus(select_features.selections_of(spark.range(1), {"variance": ["a", "b"], "correlation": ["a", "c"], "forest": ["a", "b", "c"], "f": ["e"]}))
 
 
-@query("SELECT unnest(['PRCP_3d_sum', 'temp_range_daily', 'WSF2_lag1d', 'season', 'weather_severity_score', 'pct_out_max', 'x']) AS feature, unnest(['rain', 'temperature', 'wind', 'calendar', 'stress', 'outage', 'other']) AS family")
-def m09_families(spark, root):
-    x = spark.createDataFrame([(f,) for f in ("PRCP_3d_sum", "temp_range_daily", "WSF2_lag1d", "season", "weather_severity_score", "pct_out_max", "x")], "feature string")
-    return x.select("feature", select_features.categorise(F.col("feature")).alias("family"))
+NAMES = {"PRCP_3d_sum": "weather_base", "WT01": "weather_types", "season": "temporal", "heavy_rain": "extreme_indicators", "wet_windy_combo": "compound_risks", "climate_zone": "geographic", "temp_range_daily": "other"}
+
+
+@query(f"SELECT unnest({list(NAMES)}) AS feature, unnest({list(NAMES.values())}) AS kind")
+def m09_kinds(spark, root):
+    x = spark.createDataFrame([(f,) for f in NAMES], "feature string")
+    return x.select("feature", select_features.categorise(F.col("feature")).alias("kind"))
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------------

@@ -18,10 +18,10 @@ from tempestry.session import ship
 
 # Names under which the snapshot columns are delivered, by canonical name, in order of preference.
 SNAPSHOT_NAMES = {
-    "fips_code": ("fips_code", "fips", "county_fips", "countyfips", "geoid"),
-    "customers_out": ("customers_out", "sum", "customersout", "cust_out", "customers_affected"),
-    "run_start_time": ("run_start_time", "run_start", "timestamp", "timestamp_utc", "time", "datetime", "recordtime"),
-    "customers_total": ("customers_total", "total_customers", "customers", "customers_tracked"),
+    "fips_code": ("fips_code", "county_fips", "fips", "fips5", "county_fips_code"),
+    "customers_out": ("customers_out", "sum", "customers_affected", "customers_interrupted", "customers_outstanding", "outage_customers", "affected_customers", "customer_out", "cust_out", "n_customers_out"),
+    "run_start_time": ("run_start_time", "run_time", "interval_start_time", "interval_start", "timestamp_utc", "start_time_utc", "start_time", "observation_time_utc", "time_utc", "timestamp", "datetime_utc"),
+    "customers_total": ("total_customers", "customers_total", "customers"),
 }
 REQUIRED = ("fips_code", "customers_out", "run_start_time")
 YEAR_FILE = re.compile(r"^outages_daily_(20\d{2})\.csv$")

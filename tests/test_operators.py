@@ -57,8 +57,10 @@ def test_means(spark):
 def test_missing_plan(spark):
     rows = [(day(i), "c", None if i in (2, 3) else float(i), None if i == 0 else 5.0, None, None if i == 4 else 7.0, None if i == 1 else "x", None, None) for i in range(6)]
     df = spark.createDataFrame(rows, "day date, county_fips string, TMAX double, PRCP double, WT01 double, WSF2 double, state string, any_out double, train_mask boolean")
+    df = df.withColumn("WSF2_7d_max", F.when(F.dayofmonth("day") > 2, F.dayofmonth("day") + 0.0)).withColumn("run_start_time_day", F.lit(None).cast("date"))
     plan = clean.MissingPlan("county_fips", "day").fit(df)
     got = [tuple(r) for r in plan.transform(df).orderBy("day").collect()]
+    assert [r[9] for r in got] == [4.5, 4.5, 3, 4, 5, 6] and got[0][10] == D
     assert [r[2] for r in got] == [0, 1, 2, 3, 4, 5] and got[0][3] == 0 and all(r[4] == 0 and r[7] == 0 and r[8] is False for r in got)
     assert got[4][5] == 7 and got[1][6] == "x"
 
@@ -299,6 +301,10 @@ def test_correlations(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0, 1.0), (2.0, 4.0, 5.0, None), (3.0, 6.0, 5.0, 2.0), (None, 1.0, 5.0, 9.0)], "a double, b double, k double, n double")
     r = {(x["a"], x["b"]): x["r"] for x in profile.correlations(df, ["a", "b", "k"]).collect()}
     assert r["a", "b"] == pytest.approx(1.0) and r["a", "k"] is None
+    many = profile.correlations(df, ["a", "b", "k", "n"], few=2).collect()
+    want = {(x["a"], x["b"]): x["r"] for x in profile.correlations(df, ["a", "b", "k", "n"]).collect()}
+    assert {(x["a"], x["b"]): x["r"] and pytest.approx(x["r"]) for x in many} == want
+    assert {x["r"] for x in profile.correlations(df.limit(0), ["a", "b", "k"], few=2).collect()} <= {None}
     assert {x["feature"]: x["n"] for x in profile.target_correlations(df, ["a", "n"], "b").collect()} == {"a": 3, "n": 3}
     sp = {x["feature"]: x["r"] for x in profile.target_correlations(df, ["a"], "b", spearman=True).collect()}
     assert sp["a"] == pytest.approx(1.0)
