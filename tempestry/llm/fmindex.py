@@ -155,16 +155,14 @@ def matches(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, indexed: n
     Matching statistics by backward search: from right ends at most `step` apart, phrases are put in front while the
     interval still holds suffixes of other owners, until the pattern is as long as a shared span must make it; the
     suffixes in the interval are then compared code point by code point."""
-    pieces = len(starts) - 1
-    cuts, of = [], []
     sums = prefix(codes)
-    grams = gram_hash(sums, gram)
-    for p in range(pieces):
-        a, b = int(starts[p]), int(starts[p + 1])
-        at = minima(grams[a : max(a, b - gram + 1)], window) + a
-        cuts.append(at)
-        of.append(np.full(len(at), p))
-    at, of = np.concatenate(cuts), np.concatenate(of)
+    h = gram_hash(sums, gram)
+    none = np.iinfo(U64).max
+    over = (starts[1:, None] - np.arange(1, gram)[None, :]).ravel()  # grams that run over the end of a piece are none
+    h[over[(over >= 0) & (over < len(h))]] = none
+    at = minima(h, window)
+    at = at[h[at] != none]
+    of = np.searchsorted(starts, at, side="right") - 1
     if len(at) < 2:
         return np.zeros((0, 5), np.int64)
     last = np.concatenate([of[1:] != of[:-1], [True]])  # the last boundary of a piece starts no whole phrase: it is the end

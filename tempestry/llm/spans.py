@@ -90,7 +90,7 @@ def _pieces(gram: int, margin: int):
 def _search(least: int):
     """Mapper: shards of whole keys, each with an FM-index, its pieces streamed against it."""
 
-    def run(keys: list[tuple], rows: list[pd.DataFrame]) -> pd.DataFrame:
+    def run(rows: list[pd.DataFrame]) -> pd.DataFrame:
         p = pd.concat(rows, ignore_index=True)
         # pieces of unlike keys meet in a shard; what they share is as true as within a key
         parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in p["piece"]]
@@ -104,21 +104,24 @@ def _search(least: int):
         held: list[pd.DataFrame] = []
         size, last = 0, None
         for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            key = pd.MultiIndex.from_frame(pdf[["rep", "blocks", "block"]])
-            change = np.flatnonzero(np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])) if len(pdf) else []
-            bounds = [*change, len(pdf)] if len(change) and change[0] == 0 else [0, *change, len(pdf)]
-            lengths = pdf["piece"].str.len().to_numpy()
-            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-                if x in set(change) and size >= SHARD:
-                    yield run([], held)
-                    held, size = [], 0
-                held.append(pdf.iloc[x:y])
-                size += int(lengths[x:y].sum())
-            if len(pdf):
-                last = key[-1]
+            if not len(pdf):
+                continue
+            key = pdf[["rep", "blocks", "block"]].to_numpy(np.int64)
+            fresh = np.concatenate([[last is None or bool((key[0] != last).any())], (key[1:] != key[:-1]).any(1)])
+            upto = np.concatenate([[0], np.cumsum(pdf["piece"].str.len().to_numpy(np.int64))])
+            begin = 0
+            for x in np.flatnonzero(fresh).tolist():  # a shard ends where a key does
+                if size + upto[x] - upto[begin] >= SHARD:
+                    if x > begin:
+                        held.append(pdf.iloc[begin:x])
+                    if held:
+                        yield run(held)
+                    held, size, begin = [], 0, x
+            held.append(pdf.iloc[begin:])
+            size += int(upto[-1] - upto[begin])
+            last = key[-1]
         if held:
-            yield run([], held)
+            yield run(held)
 
     return build
 
