@@ -84,11 +84,13 @@ def rescue_ingest(df: DataFrame, payload: str, names: dict[str, list[str]], targ
     known = {f: list(dict.fromkeys([f, *names.get(f, [])])) for f in target}
     every = [(f, n) for f in target for n in known[f]]
     x = once(df.select(row, F.col(payload).alias("__payload")), {"__map": json_fields(F.col("__payload"))})
-    x = once(x, {f"__t{i}": _plain(F.try_element_at(m, F.lit(n))) for i, (_, n) in enumerate(every)})
-    cast = once(x, {f"__c{i}": CASTS[target[f]](F.col(f"__t{i}")) for i, (f, _) in enumerate(every)})
-    fields = [F.coalesce(*[F.col(f"__c{i}") for i, (g, _) in enumerate(every) if g == f]).alias(f) for f in target]
-    lost = F.array_compact(F.array(*[F.when(F.col(f"__c{i}").isNull(), F.lit(n)) for i, (_, n) in enumerate(every)]))
-    x = once(cast.select("__row", "__payload", "__map", *fields, lost.alias("__lost")), {"__kept": F.col("__lost")})
+    # Over arrays, not name by name: the code for each name would outgrow what the JVM compiles.
+    texts = lambda ns: F.transform(F.array(*[F.lit(n) for n in ns]), lambda n: _plain(F.try_element_at(m, n)))
+    x = once(x, {f"__t{k}": texts(known[f]) for k, f in enumerate(target)})
+    x = once(x, {f"__c{k}": F.transform(f"__t{k}", CASTS[kind]) for k, kind in enumerate(target.values())})
+    fields = [F.get(F.filter(f"__c{k}", lambda v: v.isNotNull()), F.lit(0)).alias(f) for k, f in enumerate(target)]
+    lost = F.array_compact(F.array(*[F.when(F.get(f"__c{k}", F.lit(i)).isNull(), F.lit(n)) for k, f in enumerate(target) for i, n in enumerate(known[f])]))
+    x = once(x.select("__row", "__payload", "__map", *fields, lost.alias("__lost")), {"__kept": F.col("__lost")})
     lost, allowed = F.col("__kept"), F.array(*[F.lit(n) for _, n in every])
     rest = F.map_filter(m, lambda k, v: (~F.array_contains(allowed, k) | F.array_contains(lost, k)) & json_type(v).isNotNull())
     broken = F.when(m.isNull() & F.col("__payload").isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col("__payload"))))
