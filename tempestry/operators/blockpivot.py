@@ -85,8 +85,9 @@ def wide_table(cells: DataFrame, entity: list[str], attribute: str, value: str,
     return reduce(lambda a, b: a.join(b.hint("merge"), entity, "left"), blocks)
 
 
-def weather_cells(obs: DataFrame, stations: DataFrame) -> DataFrame:
-    """weather_obs with its spelling set right: station as in stations.id, day, datatype in capitals, number.
+def weather_cells(obs: DataFrame, stations: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """weather_obs with its spelling set right: station as in stations.id, day, datatype in capitals, number; and the columns
+    of carry as they are.
 
     Stations that aren't in the table keep their code in capitals with the GHCND: prefix. WT datatypes also take words
     for yes and no."""
@@ -96,9 +97,9 @@ def weather_cells(obs: DataFrame, stations: DataFrame) -> DataFrame:
     datatype = F.upper(F.regexp_replace("datatype", r"\s+", ""))
     read = F.coalesce(number(F.col("value")), F.when(datatype.startswith("WT"), yes_no(F.col("value"))))
     known = stations.select(F.col("id").alias("_id"), bare(F.col("id")).alias("_code"))
-    x = obs.select(bare(F.col("station")).alias("_c"), F.col("date").cast("date").alias("day"), datatype.alias("datatype"), read.alias("number"))
+    x = obs.select(bare(F.col("station")).alias("_c"), F.col("date").cast("date").alias("day"), datatype.alias("datatype"), read.alias("number"), *carry)
     x = x.join(small(known), F.col("_c") == F.col("_code"), "left")
-    return x.select(F.coalesce("_id", F.concat(F.lit("GHCND:"), "_c")).alias("station"), "day", "datatype", "number")
+    return x.select(F.coalesce("_id", F.concat(F.lit("GHCND:"), "_c")).alias("station"), "day", "datatype", "number", *carry)
 
 
 def cell_states(wide: DataFrame, entity: list[str], attributes: list[str]) -> DataFrame:

@@ -327,10 +327,8 @@ def a01_county_day(spark, root):
 
 @query(r"WITH o AS (SELECT station, CAST(date AS DATE) AS day, datatype, CASE WHEN regexp_matches(value, '^[+-]?[0-9]+[.][0-9]+$') THEN CAST(value AS DOUBLE) END AS v, retrieved_at FROM weather_obs), r AS (SELECT *, row_number() OVER (PARTITION BY station, day, datatype ORDER BY retrieved_at, v) AS k FROM o WHERE v IS NOT NULL), k AS (SELECT DISTINCT station, day FROM o) SELECT station, day, " + ", ".join(f"max(CASE WHEN datatype = '{d}' AND k = 1 THEN v END) AS {d}" for d in weather.DATATYPES) + " FROM k LEFT JOIN r USING (station, day) GROUP BY 1, 2")
 def r01_pivot_first(spark, root):
-    obs = table(spark, root, "weather_obs")
-    v = F.when(F.col("value").rlike(r"^[+-]?[0-9]+[.][0-9]+$"), F.col("value").try_cast("double"))
-    x = obs.select("station", F.col("date").cast("date").alias("day"), "datatype", v.alias("v"), "retrieved_at")
-    return weather.pivot_observations(x, ["station", "day"], "datatype", "v", "retrieved_at")
+    cells = blockpivot.weather_cells(table(spark, root, "weather_obs"), table(spark, root, "stations"), ("retrieved_at",))
+    return weather.pivot_observations(cells, ["station", "day"], "datatype", "number", "retrieved_at")
 
 
 @query(ONE + " SELECT day, count(DISTINCT station) AS stations FROM sd GROUP BY 1")
