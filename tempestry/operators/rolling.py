@@ -11,11 +11,12 @@ EPOCH = "1970-01-01"
 
 
 def latest_rows(df: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
-    """One row per keys: that with the latest `order` (rows tied on it count as identical; the largest is taken).
+    """One row per keys: that with the latest `order` (rows tied on it count as identical; the largest is taken). A null
+    order comes before all others: such a row counts only where there is no other.
 
     A plain aggregate, so rows are combined before the shuffle and a hot key can't fill one task."""
     picked = F.struct(*[F.col(c) for c in columns])
-    return df.groupBy(*keys).agg(F.max_by(picked, F.col(order)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in columns])
+    return df.groupBy(*keys).agg(F.max(F.struct(F.col(order), picked.alias("_p"))).alias("_r")).select(*keys, *[F.col("_r._p")[c].alias(c) for c in columns])
 
 
 def trailing_totals(df: DataFrame, entity: str, day: str, measures: list[str], periods: tuple[int, ...] = (7, 30)) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import date, datetime
 from parity import connect, table
 from pyspark.sql import functions as F
 
-from tempestry.operators import weather
+from tempestry.operators import rolling, weather
 from tempestry.plans import problems, reference
 
 D = date(2024, 1, 1)
@@ -28,3 +28,9 @@ def test_first_values_against_cells(spark, root):
     sql = cells + ", r AS (SELECT *, row_number() OVER (PARTITION BY station, day, datatype ORDER BY x IS NULL, retrieved_at, x) AS k FROM n) SELECT station, day, " + ", ".join(f"max(CASE WHEN datatype = '{d}' AND k = 1 THEN x END) AS {d}" for d in weather.DATATYPES) + " FROM r GROUP BY 1, 2"
     df, rel = reference.QUERIES["r01_pivot_first"](spark, root), connect(root).sql(sql)
     assert table(df.columns, df.collect()) == table(rel.columns, rel.fetchall())
+
+
+def test_latest_row_without_order(spark, rows):
+    """A row whose order is null stays where there is no other, as in the SQL."""
+    df = spark.createDataFrame([("a", None, 5.0), ("b", None, 9.0), ("b", 1, 6.0), ("c", 1, 7.0), ("c", 2, None)], "k string, t int, v double")
+    assert rows(rolling.latest_rows(df, ["k"], ["v"], "t")) == [("a", 5.0), ("b", 6.0), ("c", None)]
