@@ -51,18 +51,17 @@ def wide_table(cells: DataFrame, entity: list[str], attribute: str, value: str,
     cells: entity columns, attribute and a double value (null: not usable). A_state is null where the entity has no rows of
     A, `empty` if none of them is usable, `contested` if the usable ones differ (A is then null), else `ok`. NaN is not
     usable. Rows with a null entity column or attribute are left out; an empty table gives no rows. attributes: the
-    columns to make, in this order, by default all there are, sorted (a distinct job of its own; over MAX_ATTRIBUTES
-    raise). Names that clash are told apart as column_names does.
+    columns to make, in this order, by default all there are, sorted (a distinct job of its own); over MAX_ATTRIBUTES,
+    listed or found, raise. Names that clash are told apart as column_names does.
 
     Attributes are divided into blocks; each block is pivoted by conditional aggregates that combine on the map side,
     hashed by the same entity columns into the same number of partitions, and the blocks are joined where they lie.
     A cell is shuffled once, in its own block; no block's row holds more than `block` columns of state at once."""
     cells = cells.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*entity, attribute]]))
     if attributes is None:
-        rows = cells.select(attribute).distinct().limit(MAX_ATTRIBUTES + 1).collect()
-        if len(rows) > MAX_ATTRIBUTES:
-            raise ValueError("more attributes than columns can be made of")
-        attributes = sorted(r[0] for r in rows)
+        attributes = sorted(r[0] for r in cells.select(attribute).distinct().limit(MAX_ATTRIBUTES + 1).collect())
+    if len(attributes) > MAX_ATTRIBUTES:
+        raise ValueError("more attributes than columns can be made of")
     usable = F.when(~F.isnan(value), F.col(value))
     blocks, called = [], column_names(attributes, entity)
     for at in range(0, len(attributes), block):

@@ -2,10 +2,11 @@
 
 from datetime import date, datetime
 
+import pytest
 from parity import connect, table
 from pyspark.sql import functions as F
 
-from tempestry.operators import rolling, weather
+from tempestry.operators import blockpivot, features, rolling, weather
 from tempestry.plans import problems, reference
 
 D = date(2024, 1, 1)
@@ -34,3 +35,10 @@ def test_latest_row_without_order(spark, rows):
     """A row whose order is null stays where there is no other, as in the SQL."""
     df = spark.createDataFrame([("a", None, 5.0), ("b", None, 9.0), ("b", 1, 6.0), ("c", 1, 7.0), ("c", 2, None)], "k string, t int, v double")
     assert rows(rolling.latest_rows(df, ["k"], ["v"], "t")) == [("a", 5.0), ("b", 6.0), ("c", None)]
+
+
+def test_too_many_attributes_raise(spark, root, monkeypatch):
+    monkeypatch.setattr(blockpivot, "MAX_ATTRIBUTES", 2)
+    for q in ("p7_wide", "p7_found"):
+        with pytest.raises(ValueError, match="more attributes"):
+            problems.QUERIES[q](spark, root)
