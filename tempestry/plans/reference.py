@@ -432,9 +432,9 @@ def f13_numbers(spark, root):
 
 @query(f"WITH {WX} SELECT county_fips, day, CASE WHEN WT01 IS NULL AND WT02 IS NULL AND WT03 IS NULL THEN 1 ELSE 0 END AS all_null, CASE WHEN AWND IS NULL OR WSF2 IS NULL OR WSF5 IS NULL THEN 1 ELSE 0 END AS any_null FROM wx WHERE county_fips IN ('07001', '43001') AND TMAX BETWEEN -20 AND 45")
 def p12_row_predicates(spark, root):
-    x = wx(spark, root).where(F.col("county_fips").isin("07001", "43001") & F.col("TMAX").between(-20, 45))
+    x = wx(spark, root)
     null = lambda c: F.col(c).isNull()
-    return x.select(*KEY, C.flag(null("WT01") & null("WT02") & null("WT03")).alias("all_null"), C.flag(null("AWND") | null("WSF2") | null("WSF5")).alias("any_null"))
+    return x.select(*KEY, C.flag(null("WT01") & null("WT02") & null("WT03")).alias("all_null"), C.flag(null("AWND") | null("WSF2") | null("WSF5")).alias("any_null"), F.col("county_fips").isin("07001", "43001").alias("in_counties"), F.col("TMAX").between(-20, 45).alias("in_range"))
 
 
 @query(f"WITH {WX} SELECT county_fips, day, TMAX FROM wx WHERE TMAX IS NOT NULL ORDER BY abs(TMAX - 20) DESC, county_fips, day LIMIT 10")

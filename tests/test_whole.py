@@ -42,3 +42,9 @@ def test_too_many_attributes_raise(spark, root, monkeypatch):
     for q in ("p7_wide", "p7_found"):
         with pytest.raises(ValueError, match="more attributes"):
             problems.QUERIES[q](spark, root)
+
+
+def test_row_predicates_see_every_row(spark, root):
+    df = reference.QUERIES["p12_row_predicates"](spark, root)
+    wx = connect(root).sql(f"WITH {reference.WX} SELECT county_fips, day, (WT01 IS NULL AND WT02 IS NULL AND WT03 IS NULL)::INTEGER AS all_null, (AWND IS NULL OR WSF2 IS NULL OR WSF5 IS NULL)::INTEGER AS any_null, county_fips IN ('07001', '43001') AS in_counties, TMAX BETWEEN -20 AND 45 AS in_range FROM wx")
+    assert table(df.columns, df.collect()) == table(wx.columns, wx.fetchall())
