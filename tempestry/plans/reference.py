@@ -782,7 +782,11 @@ def m03_correlation_filter(spark, root):
 
 @query("SELECT unnest(['a', 'b', 'c']) AS feature, unnest([3, 2, 2])::BIGINT AS methods")
 def m08_consensus(spark, root):
-    return select_features.consensus(select_features.selections_of(spark.range(1), {"variance": ["a", "b"], "correlation": ["a", "c"], "forest": ["a", "b", "c"], "f": ["e"]}))
+    x = features.engineer(wx(spark, root), "county_fips", "day")
+    names = [f for fs in features.GROUPS.values() for f in fs if dict(x.dtypes)[f] != "string"]
+    best = select_features.top_features(select_features.f_regression(x, [f for f in names if f != "WSF5"], "WSF5"), "f", 30)
+    chosen = {"variance": select_features.variance_filter(x, names), "correlation": select_features.correlation_filter(x, names), "f": [r["feature"] for r in best.collect()]}
+    return select_features.consensus(select_features.selections_of(x, chosen))
 
 
 NAMES = {"PRCP_3d_sum": "weather_base", "WT01": "weather_types", "season": "temporal", "heavy_rain": "extreme_indicators", "wet_windy_combo": "compound_risks", "climate_zone": "geographic", "temp_range_daily": "other"}
@@ -790,7 +794,8 @@ NAMES = {"PRCP_3d_sum": "weather_base", "WT01": "weather_types", "season": "temp
 
 @query(f"SELECT unnest({list(NAMES)}) AS feature, unnest({list(NAMES.values())}) AS kind")
 def m09_kinds(spark, root):
-    x = spark.createDataFrame([(f,) for f in NAMES], "feature string")
+    names = dict.fromkeys([*NAMES, *(f for fs in features.GROUPS.values() for f in fs)])
+    x = spark.createDataFrame([(f,) for f in names], "feature string")
     return x.select("feature", select_features.categorise(F.col("feature")).alias("kind"))
 
 

@@ -48,3 +48,13 @@ def test_row_predicates_see_every_row(spark, root):
     df = reference.QUERIES["p12_row_predicates"](spark, root)
     wx = connect(root).sql(f"WITH {reference.WX} SELECT county_fips, day, (WT01 IS NULL AND WT02 IS NULL AND WT03 IS NULL)::INTEGER AS all_null, (AWND IS NULL OR WSF2 IS NULL OR WSF5 IS NULL)::INTEGER AS any_null, county_fips IN ('07001', '43001') AS in_counties, TMAX BETWEEN -20 AND 45 AS in_range FROM wx")
     assert table(df.columns, df.collect()) == table(wx.columns, wx.fetchall())
+
+
+def test_consensus_of_real_selections(spark, root):
+    got = {r["feature"]: r["methods"] for r in reference.QUERIES["m08_consensus"](spark, root).collect()}
+    assert set(got) <= {f for fs in features.GROUPS.values() for f in fs} and set(got.values()) == {2, 3}
+
+
+def test_kinds_of_all_features(spark, root):
+    got = {r["feature"]: r["kind"] for r in reference.QUERIES["m09_kinds"](spark, root).collect()}
+    assert got.keys() >= {f for fs in features.GROUPS.values() for f in fs} and got.items() >= reference.NAMES.items()
