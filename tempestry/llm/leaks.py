@@ -48,18 +48,17 @@ class Codes(dict):
 class ItemIndex:
     """Template windows of a block of items.
 
-    A word becomes a typed placeholder: digits <number>, words of UNITS <unit>, and words that fewer than `common` items
-    use <name>; the rest, the template's own words, stay. Windows of n placeholders and words are hashed."""
+    A word becomes a typed placeholder: digits <number>, words of UNITS <unit>, and words that are not among the `kept` <name>;
+    the kept ones, the template's own words, stay. Windows of n placeholders and words are hashed. items: id, text and
+    how many rows have both."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, common: int) -> None:
+    def __init__(self, items: list[tuple[int, str, int]], n: int, kept: set[str]) -> None:
         self.n = n
-        split = [(i, words(t)) for i, t in items]
-        use = Counter(w for _, ws in split for w in set(ws))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(use))}
-        kinds = [NUMBER if w.isdigit() else UNIT if w in UNITS else k if use[w] >= common else NAME for w, k in self.vocabulary.items()]
+        self.ids, self.times = [i for i, _, _ in items], [c for _, _, c in items]
+        self.texts = [words(t) for _, t, _ in items]
+        self.vocabulary = {w: k for k, w in enumerate(sorted(kept.union(*self.texts)))}  # a kept word that only other blocks have is no name
+        kinds = [NUMBER if w.isdigit() else UNIT if w in UNITS else k if w in kept else NAME for w, k in self.vocabulary.items()]
         self.kinds = np.array([*kinds, UNIT, NUMBER, NAME], np.int64)  # indexed by code; the last three by -3, -2, -1
-        self.ids = [i for i, _ in split]
-        self.texts = [ws for _, ws in split]
         codes = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in self.texts]
         self.codes = codes
         hashes, item, at = [], [], []
@@ -118,7 +117,7 @@ def _mapper(index, n: int):
                     if p + n <= bounds[d + 1]:
                         found.setdefault((d, k), []).append((p - int(bounds[d]), q))
                 for (d, k), hits in found.items():
-                    rows.append((int(ids[at + d]), ix.ids[k], *_consistency(split[d], ix.texts[k], hits, n, ix, k)))
+                    rows += [(int(ids[at + d]), ix.ids[k], *_consistency(split[d], ix.texts[k], hits, n, ix, k))] * ix.times[k]
                 at, size = end, 0
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "verbatim", "templates", "consistent", "item_windows"])
 
@@ -148,6 +147,16 @@ def _consistency(doc: list[str], item: list[str], hits: list[tuple[int, int]], n
     return len(verbatim), len({q for _, q in hits}), best, max(0, len(item) - n + 1)
 
 
+def _word_use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mapper: in how many item rows each word stands, by batch."""
+    for pdf in batches:
+        use: Counter[str] = Counter()
+        for text, times in zip(pdf["text"], pdf["times"], strict=True):
+            for w in set(words(text)):
+                use[w] += int(times)
+        yield pd.DataFrame(list(use.items()), columns=["word", "use"])
+
+
 def template_matches(docs: DataFrame, items: DataFrame, n: int = 12, common: int = 3) -> DataFrame:
     """doc_id, item_id, verbatim, templates, consistent, item_windows for every pair of a document and an item of which a
     window of n words has the same template.
@@ -155,24 +164,26 @@ def template_matches(docs: DataFrame, items: DataFrame, n: int = 12, common: int
     verbatim counts the item's windows whose words all stand in a row in the document; templates those with an equal template;
     consistent those whose slots agree (a re-parameterised question has consistent > 0 without verbatim windows). Words are
     longest runs of letters and digits, lower case. Null or short texts and null ids match nothing; an empty side gives no
-    rows. Items that share an id count as one per row.
+    rows. Items that share an id count as one per row. Words that fewer than `common` of all item rows use are names.
 
-    Items are sorted by id into blocks of ITEM_BLOCK; a block's index of template windows is broadcast (its size is bounded by
-    the block) and hash-joined with the windows of all documents in one pass over the texts without a shuffle."""
+    Items are sorted by id and text into blocks of ITEM_BLOCK, equal ones as one, which changes no result: the words in common
+    use are counted over all items first (they are held by the driver). A block's index of template windows is broadcast (its
+    size is bounded by the block and those words) and hash-joined with the windows of all documents in one pass over the texts without a
+    shuffle."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null and text is not null")
     schema = "doc_id bigint, item_id bigint, verbatim int, templates int, consistent int, item_windows int"
+    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    use = items.mapInPandas(_word_use, "word string, use bigint").groupBy("word").agg(F.sum("use").alias("use"))
+    kept = {r["word"] for r in use.where(F.col("use") >= common).select("word").collect()}
     parts, last = [], None
     while True:
-        block = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-        block = block if last is None else block.where(F.col("item_id") > last)
-        rows = [(int(r["item_id"]), r["text"]) for r in block.select("item_id", "text").orderBy("item_id").limit(ITEM_BLOCK).collect()]
+        block = items if last is None else items.where((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
+        rows = [(int(r["item_id"]), r["text"], r["times"]) for r in block.orderBy("item_id", "text").limit(ITEM_BLOCK).collect()]
         if not rows:
             break
-        if len(rows) == ITEM_BLOCK and rows[0][0] != rows[-1][0]:  # an id's rows stay in one block
-            rows = [r for r in rows if r[0] != rows[-1][0]] or rows
-        last = rows[-1][0]
-        index = spark.sparkContext.broadcast(ItemIndex(rows, n, common))
+        last = rows[-1]
+        index = spark.sparkContext.broadcast(ItemIndex(rows, n, kept))
         parts.append(docs.mapInPandas(_mapper(index, n), schema))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

@@ -1,0 +1,17 @@
+"""Blocks of items change no result."""
+
+from tempestry.llm import leaks
+
+
+def test_blocks_change_nothing(spark, rows, monkeypatch):
+    """Words count as common over all items, and an id may have more rows than a block."""
+    frame = "the pump at {} lifts {} litres for the owner of the old mill in {}"
+    items = [(1, frame.format("Aro", 5, "Bex")), (2, frame.format("Cil", 6, "Dov")), (3, frame.format("Eda", 7, "Fum"))]
+    items += [(4, "a b c d e f g h i j k " + w) for w in ("l", "m", "n", "o")] + [(4, "a b c d e f g h i j k l")]
+    docs = [(10, "so " + frame.format("Gil", 8, "Hux") + " it says"), (11, items[0][1]), (12, "a b c d e f g h i j k o"), (13, items[2][1].replace("Fum", "owner"))]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = rows(leaks.template_matches(d, i))
+    assert {(r[0], r[1]) for r in want} >= {(10, 1), (10, 2), (10, 3), (11, 1), (12, 4)}
+    for block in (1, 2, 3):
+        monkeypatch.setattr(leaks, "ITEM_BLOCK", block)
+        assert rows(leaks.template_matches(d, i)) == want
