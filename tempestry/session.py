@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,13 +36,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only a local master may fall back to a temporary folder."""
+    """Use the cluster's spark.checkpoint.dir; only a master in this one process may fall back to a temporary folder
+    (local-cluster has executors of its own and may not)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tempestry-")
     sc.setCheckpointDir(shared)
@@ -52,6 +55,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """A new path in the shared folder; what is written there is deleted when the program ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  (the session is gone: the folder is its owner's to clear)
+        return
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts the lineage, is computed once however often it is used, keeps the
+    columns apart (later reads are pruned) and has a known size."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file at any path that Hadoop's file systems know."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """What put_text wrote."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """The full paths of the files and folders right under a folder of any file system, sorted; none if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath().toString()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df (file sizes carried through the plan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
