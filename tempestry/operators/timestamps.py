@@ -59,7 +59,28 @@ def spans_by_year(name: str, first: int, last: int) -> list[tuple[int, list[dict
     return out
 
 
-def zone_offsets(zones: DataFrame, zone: str, first: int = 1900, last: int = 2100) -> DataFrame:
+#: The offset table holds these years. No zone changes before the first (local mean time); after 2100 only the yearly rules are left, which
+#: repeat with the calendar, and the last 28 years have every calendar there is.
+FIRST_YEAR, LAST_YEAR, CYCLE = 1800, 2128, 28
+
+
+def _tabled_year(year: Column) -> Column:
+    """The year of the offset table that stands for a year: itself, or one with the same calendar."""
+    kind = F.dayofweek(F.make_date(year, F.lit(1), F.lit(1))) * 2 + (F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366).cast("int")
+    stands: dict[int, int] = {}
+    for y in range(LAST_YEAR - CYCLE + 1, LAST_YEAR + 1):
+        sunday_first = (datetime(y, 1, 1).weekday() + 1) % 7 + 1  # noqa: DTZ001
+        stands.setdefault(sunday_first * 2 + (datetime(y, 12, 31).timetuple().tm_yday == 366), y)  # noqa: DTZ001
+    late = F.try_element_at(F.create_map(*[F.lit(x) for kv in stands.items() for x in kv]), kind)
+    return F.when(year < FIRST_YEAR, FIRST_YEAR).when(year > LAST_YEAR, late).otherwise(year)
+
+
+def _shift(year: Column) -> Column:
+    """Seconds from the start of a year to that of the year that stands for it."""
+    return F.when((year < FIRST_YEAR) | (year > LAST_YEAR), F.datediff(F.make_date(_tabled_year(year), F.lit(1), F.lit(1)), F.make_date(year, F.lit(1), F.lit(1))).cast("bigint") * 86400).otherwise(F.lit(0).cast("bigint"))
+
+
+def zone_offsets(zones: DataFrame, zone: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """The offset intervals of each zone, exploded to calendar years.
 
     Columns: zone, year, spans array<struct<ls, le, us, ue, off>>: all intervals that touch the local or UTC year; in
@@ -125,13 +146,14 @@ def normalise_times(df: DataFrame, text: str, feed: str, place: str, feeds: Data
 
     The wall time is joined as of its zone's offset intervals, exploded by year: two intervals that hold it mean
     ambiguous, none nonexistent, one gives the offset. Every dimension is broadcast while its estimated size is under
-    the limit, and joined by shuffle beyond. df isn't shuffled otherwise. df's own columns of the names used here,
+    the limit, and joined by shuffle beyond. df isn't shuffled otherwise. Any year of four digits has a result: years before 1800
+    take the zone's first offset (no zone changed before), years after 2128 the rules of a year with the same calendar. df's own columns of the names used here,
     utc_second, local_day and time_status, are replaced."""
     feeds = feeds.select(F.col("feed_id").alias("_fid"), F.col("unzoned_zone").alias("_fz"), F.col("day_first").alias("_df"))
     places = places.select(F.col("fips_code").alias("_code"), F.col("tz").alias("_tz"))
     zones = places.select(F.col("_tz").alias("zone")).unionByName(feeds.select(F.col("_fz").alias("zone"))).unionByName(df.sparkSession.range(1).select(F.lit("UTC").alias("zone")))
     spans = zone_offsets(zones, "zone")
-    spans = F.broadcast(spans)  # at most 600 IANA names x 201 years
+    spans = F.broadcast(spans)  # at most 600 IANA names x 329 years
     keep = [c for c in df.columns if c not in ("utc_second", "local_day", "time_status")]
     whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")  # as one column, so that no name of df's can clash with those made here
     x = once(df.select(whole, F.col(feed).alias("_feed"), F.col(text).alias("_text"), F.col(place).alias("_place")), {"_code0": fips5(F.col("_place"))})
@@ -139,15 +161,18 @@ def normalise_times(df: DataFrame, text: str, feed: str, place: str, feeds: Data
     x = parsed(x, F.col("_text"), F.col("_df"))
     zone = F.when(F.col("_fz") == "COUNTY", F.col("_tz")).otherwise(F.col("_fz"))
     need = F.col("_count").isNull() & F.col("_wall").isNotNull() & ~F.col("_zoned")
-    x = x.withColumn("_zone", F.when(need, zone)).withColumn("_year", F.year(F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.col("_wall") / 86400).cast("int"))))
-    x = x.join(spans.select(F.col("zone").alias("_z1"), F.col("year").alias("_y1"), F.col("spans").alias("_s1")), (F.col("_zone") == F.col("_z1")) & (F.col("_year") == F.col("_y1")), "left")
-    hits = F.filter("_s1", lambda i: (i["ls"] <= F.col("_wall")) & (F.col("_wall") < i["le"]))
+    year_of = lambda seconds: F.year(F.date_add(F.lit(EPOCH).cast("date"), F.floor(seconds / 86400).cast("int")))
+    x = x.withColumn("_zone", F.when(need, zone)).withColumn("_year", year_of(F.col("_wall")))
+    x = once(x, {"_ty": _tabled_year(F.col("_year")), "_w": F.col("_wall") + _shift(F.col("_year"))})
+    x = x.join(spans.select(F.col("zone").alias("_z1"), F.col("year").alias("_y1"), F.col("spans").alias("_s1")), (F.col("_zone") == F.col("_z1")) & (F.col("_ty") == F.col("_y1")), "left")
+    hits = F.filter("_s1", lambda i: (i["ls"] <= F.col("_w")) & (F.col("_w") < i["le"]))
     x = once(x.withColumn("_need", need), {"_hits": F.when(F.col("_need") & F.col("_s1").isNotNull(), hits)}).drop("_s1")
     utc = F.coalesce(F.col("_count"), F.when(F.col("_zoned"), F.col("_wall") - F.col("_off")).otherwise(F.when(F.size("_hits") == 1, F.col("_wall") - F.get("_hits", F.lit(0))["off"])))
     x = once(x, {"utc_second": F.when(F.col("_code").isNotNull(), utc)})
-    x = x.withColumn("_uy", F.year(F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.col("utc_second") / 86400).cast("int"))))
+    x = x.withColumn("_uyear", year_of(F.col("utc_second")))
+    x = once(x, {"_uy": _tabled_year(F.col("_uyear")), "_u": F.col("utc_second") + _shift(F.col("_uyear"))})
     x = x.join(spans.select(F.col("zone").alias("_z2"), F.col("year").alias("_y2"), F.col("spans").alias("_s2")), (F.col("_tz") == F.col("_z2")) & (F.col("_uy") == F.col("_y2")), "left")
-    x = once(x, {"_there": F.get(F.filter("_s2", lambda i: (i["us"] <= F.col("utc_second")) & (F.col("utc_second") < i["ue"])), F.lit(0))["off"]})
+    x = once(x, {"_there": F.get(F.filter("_s2", lambda i: (i["us"] <= F.col("_u")) & (F.col("_u") < i["ue"])), F.lit(0))["off"]})
     local = F.date_add(F.lit(EPOCH).cast("date"), F.floor((F.col("utc_second") + F.col("_there")) / 86400).cast("int"))
     status = (
         F.when(F.col("_code").isNull(), "unknown_place")
