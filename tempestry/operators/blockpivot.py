@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempestry.session import small, written
+
 #: Attributes become part of the plan; more than this raise.
 MAX_ATTRIBUTES = 20_000
 # Words and letters for yes and no.
@@ -45,43 +47,68 @@ def column_names(attributes: list[str], entity: list[str]) -> dict[str, str]:
     return out
 
 
+def reduced_cells(cells: DataFrame, entity: list[str], attribute: str, value: str) -> DataFrame:
+    """One row per entity and attribute: the lowest and highest usable value (_lo, _hi; both null where none is usable).
+
+    Rows with a null entity column or attribute are left out; NaN is not usable. Combined on the map side, so an entity, an attribute or a
+    single cell may hold most of the rows."""
+    cells = cells.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*entity, attribute]]))
+    usable = F.when(~F.isnan(value), F.col(value))
+    return cells.groupBy(*entity, attribute).agg(F.min(usable).alias("_lo"), F.max(usable).alias("_hi"))
+
+
+def attributes_of(reduced: DataFrame, attribute: str) -> list[str]:
+    """The attributes there are, sorted; more than MAX_ATTRIBUTES raise."""
+    found = sorted(r[0] for r in reduced.select(attribute).distinct().limit(MAX_ATTRIBUTES + 1).collect())
+    if len(found) > MAX_ATTRIBUTES:
+        raise ValueError("more attributes than columns can be made of")
+    return found
+
+
 def wide_table(cells: DataFrame, entity: list[str], attribute: str, value: str, attributes: list[str] | None = None, block: int = 256) -> DataFrame:
     """One row per entity; per attribute A a double column A and a column A_state.
 
     cells: entity columns, attribute and a double value (null: not usable). A_state is null where the entity has no rows of
     A, `empty` if none of them is usable, `contested` if the usable ones differ (A is then null), else `ok`. NaN is not
     usable. Rows with a null entity column or attribute are left out; an empty table gives no rows. attributes: the
-    columns to make, in this order, by default all there are, sorted (a distinct job of its own); over MAX_ATTRIBUTES,
-    listed or found, raise. Names that clash are told apart as column_names does.
+    columns to make, in this order (entities of other attributes only have a row of nulls), by default all there are, sorted;
+    over MAX_ATTRIBUTES, listed or found, raise. Names that clash are told apart as column_names does.
 
-    Attributes are divided into blocks; each block is pivoted by conditional aggregates that combine on the map side,
-    hashed by the same entity columns into the same number of partitions, and the blocks are joined where they lie.
-    A cell is shuffled once, in its own block; no block's row holds more than `block` columns of state at once."""
-    cells = cells.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*entity, attribute]]))
-    if attributes is None:
-        attributes = sorted(r[0] for r in cells.select(attribute).distinct().limit(MAX_ATTRIBUTES + 1).collect())
-    if len(attributes) > MAX_ATTRIBUTES:
+    The cells are scanned once, reduced to one row a cell and, where the attributes must be found first, written in between. See
+    pivot_blocks for the rest."""
+    if attributes is not None and len(attributes) > MAX_ATTRIBUTES:
         raise ValueError("more attributes than columns can be made of")
-    usable = F.when(~F.isnan(value), F.col(value))
-    blocks, called = [], column_names(attributes, entity)
-    for at in range(0, len(attributes), block):
-        names = attributes[at : at + block]
-        aggs = []
-        for i, a in enumerate(names):
-            mine = F.col(attribute) == a
-            aggs += [F.min(F.when(mine, usable)).alias(f"_lo{at + i}"), F.max(F.when(mine, usable)).alias(f"_hi{at + i}"), F.max(F.when(mine, F.lit(True))).alias(f"_any{at + i}")]
-        # The first block runs over all cells and so has a row for every entity; the rest are joined to it from the left, which keeps
-        # its partitioning (a full join would lose it and shuffle again).
-        part = cells if at == 0 else cells.where(F.col(attribute).isin(names))
-        part = part.groupBy(*entity).agg(*aggs)
-        out = []
-        for i, a in enumerate(names):
-            lo, hi, there = F.col(f"_lo{at + i}"), F.col(f"_hi{at + i}"), F.col(f"_any{at + i}")
-            out += [F.when(lo == hi, lo).alias(called[a]), F.when(there, F.when(lo.isNull(), "empty").when(lo != hi, "contested").otherwise("ok")).alias(f"{called[a]}_state")]
-        blocks.append(part.select(*entity, *out))
-    if not blocks:
-        return cells.select(*entity).distinct()
-    return reduce(lambda a, b: a.join(b.hint("merge"), entity, "left"), blocks)
+    reduced = reduced_cells(cells, entity, attribute, value)
+    if attributes is None:
+        reduced = written(reduced)
+        attributes = attributes_of(reduced, attribute)
+    return pivot_blocks(reduced, entity, attribute, attributes, block)
+
+
+def pivot_blocks(reduced: DataFrame, entity: list[str], attribute: str, attributes: list[str], block: int = 256) -> DataFrame:
+    """reduced_cells as a wide table (see wide_table).
+
+    Attributes are divided into blocks. Cells are hashed by their entity once; where they lie, each block of an entity is
+    pivoted into a map of at most `block` cells, and the blocks are joined side by side by a second aggregate under the same hashing, so
+    neither step shuffles again. A column then looks its cell up in its own block's map: work grows with cells times block,
+    not with cells times attributes, and the source is read once for any number of blocks."""
+    if not attributes:
+        return reduced.select(*entity).distinct()
+    spark = reduced.sparkSession
+    called = column_names(attributes, entity)
+    places = spark.createDataFrame([(a, i // block, i % block) for i, a in enumerate(attributes)], "_a string, _block int, _at int")
+    x = reduced.join(F.broadcast(places), F.col(attribute) == F.col("_a"), "left")  # at most MAX_ATTRIBUTES rows
+    x = x.select(*entity, "_block", "_at", "_lo", "_hi").repartition(*entity)
+    cell = F.struct("_at", F.struct("_lo", "_hi").alias("_v"))
+    x = x.groupBy(*entity, "_block").agg(F.map_from_entries(F.collect_list(F.when(F.col("_at").isNotNull(), cell))).alias("_cells"))  # at most `block` cells
+    blocks = range(-(-len(attributes) // block))
+    x = x.groupBy(*entity).agg(*[F.first(F.when(F.col("_block") == b, F.col("_cells")), ignorenulls=True).alias(f"_b{b}") for b in blocks])
+    out = []
+    for i, a in enumerate(attributes):
+        v = F.try_element_at(f"_b{i // block}", F.lit(i % block))
+        lo, hi = v["_lo"], v["_hi"]
+        out += [F.when(lo == hi, lo).alias(called[a]), F.when(v.isNotNull(), F.when(lo.isNull(), "empty").when(lo != hi, "contested").otherwise("ok")).alias(f"{called[a]}_state")]
+    return x.select(*entity, *out)
 
 
 def weather_cells(obs: DataFrame, stations: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -90,8 +117,6 @@ def weather_cells(obs: DataFrame, stations: DataFrame, carry: tuple[str, ...] =
 
     Stations that aren't in the table keep their code in capitals with the GHCND: prefix. WT datatypes also take words
     for yes and no."""
-    from tempestry.session import small
-
     bare = lambda c: F.regexp_replace(F.regexp_replace(F.upper(c), r"\s+", ""), "^GHCND:", "")
     datatype = F.upper(F.regexp_replace("datatype", r"\s+", ""))
     read = F.coalesce(number(F.col("value")), F.when(datatype.startswith("WT"), yes_no(F.col("value"))))

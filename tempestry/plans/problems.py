@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions.columns import denan
 from tempestry.operators import blockpivot, drift, impute_groups, intervals, rolling, spikes, timestamps
-from tempestry.session import table
+from tempestry.session import table, written
 
 _DAY = "yyyy-MM-dd"
 FILL_NUMERIC, FILL_NAMES = ["AWND", "WSF2", "TMAX", "PRCP"], ["climate_zone"]
@@ -104,8 +104,9 @@ DATATYPES = ["AWND", "PRCP", "TMAX", "TMIN", "WSF2", "WSF5", "WT01", "WT02", "WT
 
 def _wide(spark: SparkSession, root: str) -> tuple[DataFrame, list[str]]:
     cells = blockpivot.weather_cells(table(spark, root, "weather_obs"), table(spark, root, "stations"))
-    kinds = sorted(r[0] for r in cells.select("datatype").where(F.col("datatype").isNotNull()).distinct().limit(blockpivot.MAX_ATTRIBUTES + 1).collect())
-    return blockpivot.wide_table(cells, ["station", "day"], "datatype", "number", kinds, block=8), kinds
+    reduced = written(blockpivot.reduced_cells(cells, ["station", "day"], "datatype", "number"))
+    kinds = blockpivot.attributes_of(reduced, "datatype")
+    return blockpivot.pivot_blocks(reduced, ["station", "day"], "datatype", kinds, block=8), kinds
 
 
 def p7_wide(spark: SparkSession, root: str) -> DataFrame:
