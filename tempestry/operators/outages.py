@@ -46,7 +46,9 @@ def median_gap_cadence(snaps: DataFrame, entity: str, ts: str) -> DataFrame:
     last = x.groupBy("_e", "_b").agg(F.max("_t").alias("_m")).select("_e", "_b", F.lag("_m").over(before).alias("_carry"))
     w = Window.partitionBy("_e", "_b").orderBy("_t")
     gap = F.col("_t") - F.coalesce(F.lag("_t").over(w), F.col("_carry"))
-    return x.join(last, ["_e", "_b"]).select((gap / 60.0).alias("_g")).agg(snap(F.percentile("_g", 0.5)).alias("snapshot_minutes"))
+    # Whatever is over two hours snaps to the longest cadence, so longer gaps count as two hours: at most 7,201 values are counted.
+    gaps = x.join(last, ["_e", "_b"]).select(F.least(gap, F.lit(7200)).alias("_g")).where("_g is not null").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    return gaps.agg(snap(F.percentile("_g", 0.5, F.col("_n")) / 60.0).alias("snapshot_minutes"))
 
 
 def gcd_cadence(daily: DataFrame, minutes: str = "minutes_out") -> DataFrame:

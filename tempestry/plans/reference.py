@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tempestry.functions import columns as C
 from tempestry.operators import blockpivot, clean, features, merge, metrics, ml, outages, profile, rolling, select_features, timestamps, weather
 from tempestry.plans.problems import _CELLS, _LATEST, _P3, rounded
-from tempestry.session import small, table
+from tempestry.session import small, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,12 +76,13 @@ def wx(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snaps(spark: SparkSession, root: str) -> DataFrame:
-    """outage_snapshots at their instants, one per county and instant: that with the lowest id."""
-    raw = table(spark, root, "outage_snapshots")
+    """outage_snapshots at their instants, one per county and instant: that with the lowest id. Parsing the texts is most of the work and the
+    rollup, the cadence and the sessions all start here, so the few columns they use are written once."""
+    raw = table(spark, root, "outage_snapshots").select("snapshot_id", "feed_id", "fips_code", "run_start_time", "customers_out", "customers_total")
     x = timestamps.normalise_times(raw, "run_start_time", "feed_id", "fips_code", table(spark, root, "feeds"), table(spark, root, "counties")).where(F.col("time_status") == "ok")
     first = F.min_by(F.struct("local_day", "customers_out", "customers_total"), "snapshot_id")
     x = x.groupBy(C.fips5(F.col("fips_code")).alias("fips_code"), F.col("utc_second")).agg(F.min("snapshot_id").alias("snapshot_id"), first.alias("_r"))
-    return x.select("snapshot_id", "fips_code", F.timestamp_seconds("utc_second").alias("ts"), "_r.*")
+    return written(x.select("snapshot_id", "fips_code", F.timestamp_seconds("utc_second").alias("ts"), "_r.*"))
 
 
 def daily(spark: SparkSession, root: str) -> DataFrame:
