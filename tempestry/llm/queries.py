@@ -15,6 +15,10 @@ def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
     return m.withColumn("kind", kind)
 
 
+def p8_verbatim(spark: SparkSession, root: str) -> DataFrame:
+    return p8_leaks(spark, root).where("verbatim > 0").select("doc_id", "item_id", "verbatim", "item_windows")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_leaks(spark, root).where("verbatim > 0").select("doc_id", "item_id").distinct()
 
@@ -36,15 +40,19 @@ def p10_shared(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_shares(docs, "doc_id", "text", *spans.shared_spans(docs, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_leaks, p8_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p8_leaks, p8_verbatim, p8_found, p9_mix, p9_shares, p10_found, p10_shared)}
 
-ORACLE = {
-    "p8_found": r"""
+_WINDOWS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
-SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)""",
+"""
+
+ORACLE = {
+    "p8_found": _WINDOWS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)",
+    "p8_verbatim": _WINDOWS.replace("SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s", "SELECT item_id, k, array_to_string(w[k:k + 11], ' ') AS s")
+    + "SELECT doc_id, item_id, count(DISTINCT k)::INTEGER AS verbatim, any_value(greatest(len(w) - 11, 0))::INTEGER AS item_windows FROM dw JOIN iw USING (s) JOIN i USING (item_id) GROUP BY 1, 2",
     "p10_found": """
 WITH g AS (SELECT doc_id, md5_number(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents)),
 s AS (SELECT DISTINCT doc_id, h FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)))
