@@ -32,12 +32,12 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return spans.shared_pairs(*spans.shared_spans(table(spark, root, "documents"), "doc_id", "text"))
+    return spans.shared_pairs(spans.shared_spans(table(spark, root, "documents"), "doc_id", "text"))
 
 
 def p10_shared(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    return spans.shared_shares(docs, "doc_id", "text", *spans.shared_spans(docs, "doc_id", "text"))
+    return spans.shared_shares(docs, "doc_id", "text", spans.shared_spans(docs, "doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (p8_leaks, p8_verbatim, p8_found, p9_mix, p9_shares, p10_found, p10_shared)}
@@ -57,4 +57,12 @@ ORACLE = {
 WITH g AS (SELECT doc_id, md5_number(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents)),
 s AS (SELECT DISTINCT doc_id, h FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_shared": """
+WITH g AS (SELECT doc_id, k, md5_number(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents)),
+s AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id))),
+c AS (SELECT doc_id, sum(CASE WHEN p IS NULL THEN 300 ELSE least(300, k - p) END)::BIGINT AS shared_chars, count_if(p IS NULL OR k > p + 300)::BIGINT AS stretches FROM s GROUP BY 1),
+t AS (SELECT md5_number(text) AS h, min(doc_id) AS class_id, count(*) - 1 AS copies FROM documents WHERE length(text) >= 300 GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(length(text), 0)::INTEGER AS n_chars, coalesce(copies, 0)::BIGINT AS copies, coalesce(shared_chars, 0)::BIGINT AS shared_chars,
+  coalesce(shared_chars / nullif(length(text), 0)::DOUBLE, 0.0)::DOUBLE AS share, coalesce(stretches, 0)::BIGINT AS stretches
+FROM documents d LEFT JOIN t ON length(text) >= 300 AND t.h = md5_number(text) LEFT JOIN c USING (doc_id)""",
 }

@@ -108,7 +108,7 @@ def test_numbers_and_units(spark):
     assert [got[d]["consistent"] for d in (1, 2, 4)] == [n] * 3 and got[3]["consistent"] < n
 
 
-def plant(documents, items, seed=3):
+def plant(documents, items, share, seed=3):
     """(documents, pairs): every third document gets a copy of an item with other names and numbers; the items' rare words
     are their names."""
     rng = random.Random(seed)
@@ -116,7 +116,7 @@ def plant(documents, items, seed=3):
     for t in [t for _, t in documents] + [t for _, t in items]:
         for w in set(leaks.words(t)):
             use[w] = use.get(w, 0) + 1
-    least = 0.02 * (len(documents) + len(items))
+    least = share * (len(documents) + len(items))
     pairs, out = set(), []
     for k, (d, t) in enumerate(documents):
         if k % 3 == 0:
@@ -134,7 +134,7 @@ def quality(spark, folder, share):
     documents = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").where("length(text) > 100").orderBy("doc_id").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/eval_items.parquet").orderBy("item_id").collect()]
     known = {(r["doc_id"]) for r in leaks.template_matches(spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), ordinary_share=share).collect()}
-    planted, pairs = plant([x for x in documents if x[0] not in known], items)
+    planted, pairs = plant([x for x in documents if x[0] not in known], items, share)
     got = leaks.template_matches(spark.createDataFrame(planted, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), ordinary_share=share).where("consistent > 0").collect()
     found = {(r["doc_id"], r["item_id"]) for r in got}
     reported = {d for d, _ in found}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tempestry.llm import fmindex, spans
 
@@ -46,14 +47,15 @@ def corpus(seed, n=40):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_pairs_brute(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 2000), (2, 2000), (2, 6), (3, 0)])
+def test_pairs_brute(spark, seed, hot):
+    """With all keys light, some heavy and all heavy."""
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()] + [(None, "x" * 900, "")], "doc_id long, text string, rep string")
-    sp, co = spans.shared_spans(df, "doc_id", "text")
-    got = [(r["doc_id_a"], r["doc_id_b"]) for r in spans.shared_pairs(sp, co).collect()]
+    sh = spans.shared_spans(df, "doc_id", "text", hot=hot)
+    got = [(r["doc_id_a"], r["doc_id_b"]) for r in spans.shared_pairs(sh).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 300)
-    share = {r["doc_id"]: r for r in spans.shared_shares(df, "doc_id", "text", sp, co).collect()}
+    share = {r["doc_id"]: r for r in spans.shared_shares(df, "doc_id", "text", sh).collect()}
     assert set(share) == set(texts)
     for i, r in share.items():
         want = brute_cover(texts, i, 300)
@@ -65,22 +67,36 @@ def test_hot_keys_are_split(spark):
     p = "".join(rng.choice("abcdefgh ") for _ in range(320))
     texts = {i: "".join(rng.choice("ijklmnop ") for _ in range(50)) + p + "".join(rng.choice("ijklmnop ") for _ in range(50)) for i in range(24)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    sp, co = spans.shared_spans(df, "doc_id", "text", hot=5)
-    assert {(r["doc_id_a"], r["doc_id_b"]) for r in spans.shared_pairs(sp, co).collect()} == {(a, b) for a in texts for b in texts if a < b}
+    sh = spans.shared_spans(df, "doc_id", "text", hot=5)
+    assert sh.spans.count() == 0
+    every = {(a, b) for a in texts for b in texts if a < b}
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in spans.shared_pairs(sh).collect()} == every
+    assert {(r["a"], r["b"]) for r in spans.window_pairs(sh.windows, hot=5).collect()} == every
+
+
+def test_passage_in_very_many_texts(spark):
+    """One passage in 20,000 texts: no task of Python holds them, and each text knows what it shares."""
+    rng = random.Random(6)
+    p = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    head = F.concat(F.lit("k"), F.col("id").cast("string"), F.lit(" "), F.sha2(F.col("id").cast("string"), 256))
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(head, F.lit(p), F.sha2(head, 256)).alias("text"))
+    sh = spans.shared_spans(df, "doc_id", "text")
+    got = spans.shared_shares(df, "doc_id", "text", sh).agg(F.count("doc_id"), F.min("shared_chars"), F.max("shared_chars"), F.max("stretches")).first()
+    assert got[0] == 20_000 and 400 <= got[1] <= got[2] < 440 and got[3] == 1
 
 
 def test_very_long_text(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefghij ") for _ in range(2_300_000))
     texts = [(1, long), (2, "q" * 100 + long[999_900:1_000_210] + "z" * 50), (3, long[2_299_690:]), (4, long[5:304])]
-    sp, co = spans.shared_spans(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
-    assert sorted((r["doc_a"], r["doc_b"], r["length"]) for r in sp.select("doc_a", "doc_b", "length").distinct().collect()) == [(1, 2, 310), (1, 3, 310)]
+    sh = spans.shared_spans(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
+    assert sorted((r["doc_a"], r["doc_b"], r["length"]) for r in sh.spans.select("doc_a", "doc_b", "length").distinct().collect()) == [(1, 2, 310), (1, 3, 310)]
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    sp, co = spans.shared_spans(df, "doc_id", "text")
-    assert spans.shared_pairs(sp, co).count() == 0 and spans.shared_shares(df, "doc_id", "text", sp, co).count() == 0
+    sh = spans.shared_spans(df, "doc_id", "text")
+    assert spans.shared_pairs(sh).count() == 0 and spans.shared_shares(df, "doc_id", "text", sh).count() == 0
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
@@ -94,7 +110,8 @@ def test_backward_search(seqs, pattern):
     dense = np.searchsorted(present, t)
     if not set(v + n for v in pattern) <= set(present.tolist()):
         return
-    ix = fmindex.FMIndex(dense, owner, depth=len(pattern) + 2)
+    ix = fmindex.FMIndex(dense, owner)
+    assert ix.locate(np.arange(ix.n)).tolist() == fmindex.suffix_array(dense).tolist()
     lo, hi = np.zeros(1, np.int64), np.full(1, ix.n)
     for v in reversed(pattern):
         lo, hi = ix.extend(lo, hi, np.searchsorted(present, [v + n]))
