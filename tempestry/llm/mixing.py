@@ -37,9 +37,15 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str
     """The columns keep, and n_tokens of the whole text (0 for null)."""
     types = dict(docs.dtypes)
     ship(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    if path not in getattr(sc, "_tempestry_files", ()):  # the vocabulary goes to the workers once an application
+        sc.addFile(path)
+        sc._tempestry_files = {*getattr(sc, "_tempestry_files", ()), path}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        from pyspark import SparkFiles
+
+        enc = encoding(SparkFiles.get(Path(path).name))
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["_text"]]
             yield pdf.drop(columns="_text").assign(n_tokens=np.array(n, np.int64))
@@ -64,10 +70,11 @@ def running_total(df: DataFrame, group: list[str], order: list, value: str, name
 def pack(counted: DataFrame, block_tokens: int, seed: int = 0, bucket_rows: int = 20_000) -> DataFrame:
     """Documents of each source laid end to end, in an order drawn by hash, and cut into blocks of block_tokens: source, block,
     doc_id, token_from, token_to (of the document). A document may lie in several blocks; the last block of a source may be
-    short; nothing is left out. Buckets of the order hold about bucket_rows documents, however large a source is."""
-    buckets = max(16, counted.count() // bucket_rows)
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    x = running_total(counted.where("n_tokens > 0"), ["source"], [order, "doc_id"], "n_tokens", "_at", F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets)))
+    short; nothing is left out. Ranges of the order hold about bucket_rows documents, however large a source is; their
+    number doesn't change the order."""
+    bits = max(4, (counted.count() // bucket_rows).bit_length())
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
+    x = running_total(counted.where("n_tokens > 0"), ["source"], [order, "doc_id"], "n_tokens", "_at", F.shiftright(order, 63 - bits))
     first, end = F.floor(F.col("_at") / block_tokens), F.col("_at") + F.col("n_tokens")
     x = x.withColumn("block", F.explode(F.sequence(first, F.floor((end - 1) / block_tokens))))
     lo = F.greatest(F.col("block") * block_tokens - F.col("_at"), F.lit(0))
@@ -92,14 +99,48 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x
 
 
+#: Slots up to which numpy draws without replacement; more are first split in proportion.
+DRAWN = 900_000_000
+
+
+def split_counts(counts: np.ndarray, take: int, key: list[int]) -> np.ndarray:
+    """How many of each source are among `take` slots drawn without replacement from counts: multinomial draws given their totals."""
+    total = int(counts.sum())
+    if total <= DRAWN:
+        return np.random.default_rng(key).multivariate_hypergeometric(counts, take, method="marginals")
+    whole = [int(c) * take // total for c in counts.tolist()]
+    rest = np.argsort([-(int(c) * take % total) for c in counts.tolist()], kind="stable")[: take - sum(whole)]
+    out = np.array(whole, np.int64)
+    out[rest] += 1
+    return out
+
+
+def shard_counts(quota: np.ndarray, shard_slots: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, slots by source) of the shards first..last-1. Shards have shard_slots slots, the last what is left. Each half of a
+    range of shards draws its counts from those of the range, so any task can make its own shards, every shard's counts are a
+    multinomial draw given the quotas, and together they are the quotas to the slot."""
+    n = int(quota.sum())
+    size = lambda lo, hi: min(hi * shard_slots, n) - lo * shard_slots
+    stack = [(0, -(-n // shard_slots), quota)]
+    while stack:
+        lo, hi, counts = stack.pop()
+        if lo >= last or hi <= first or lo >= hi:
+            continue
+        if hi - lo == 1:
+            yield lo, counts
+            continue
+        mid = (lo + hi) // 2
+        left = split_counts(counts, size(lo, mid), [seed, lo, hi])
+        stack += [(mid, hi, counts - left), (lo, mid, left)]
+
+
 def plan_mix(pieces: DataFrame, counted: DataFrame, targets: DataFrame, block_tokens: int, total_tokens: int | None = None, shard_slots: int = 1024, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(slots, report). slots: shard, source, epoch, block: which block of which source fills each slot of each output shard.
     report: one row per source of targets.
 
     The mix has total_tokens (default: all tokens of the sources named) in slots of a block each. A source's quota is its share
-    of the slots. For each output shard, source counts are drawn from the multinomial distribution of the shares; draws beyond
-    a quota are left out, and a last shard takes what is missing from each quota, so that quotas are met to the slot. The
-    g-th slot of a source takes block p(g mod blocks) of epoch g div blocks, where p is a pseudorandom permutation of the
+    of the slots. For each output shard, source counts are drawn from the multinomial distribution of the shares given the quotas
+    (see shard_counts), so quotas are met to the slot and every shard is near the target. The g-th slot of a source takes block p(g mod blocks) of epoch g div blocks, where p is a pseudorandom permutation of the
     source's blocks for that epoch; slots of epochs beyond max_repeats stay empty, which is a source's shortfall. Null or
     negative shares count as 0, a null max_repeats as 1; sources that no document has get nothing and are reported."""
     spark = targets.sparkSession
@@ -111,25 +152,22 @@ def plan_mix(pieces: DataFrame, counted: DataFrame, targets: DataFrame, block_to
     if len(plan) > 10_000:
         raise ValueError("too many sources for a mix")
     total = total_tokens if total_tokens is not None else sum(r["tokens"] for r in plan)
-    n, whole = -(-total // block_tokens), sum(r["target_share"] for r in plan) or 1.0
-    shares = np.array([r["target_share"] / whole for r in plan]) if plan else np.zeros(0)
+    whole = sum(r["target_share"] for r in plan)
+    n = -(-total // block_tokens) if whole > 0 else 0
+    shares = np.array([r["target_share"] / (whole or 1.0) for r in plan]) if plan else np.zeros(0)
     quota = np.floor(shares * n).astype(np.int64)
     for k in np.argsort(quota - shares * n, kind="stable")[: int(n - quota.sum()) if plan else 0]:  # largest remainders
         quota[k] += 1
-    shards = int(n // shard_slots)
+    shards = -(-int(quota.sum()) // shard_slots)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [np.random.default_rng([seed, int(i)]).multinomial(shard_slots, shares) for i in pdf["id"]]
-            yield pd.DataFrame({"shard": np.repeat(pdf["id"].to_numpy(), len(shares)), "k": np.tile(np.arange(len(shares)), len(pdf)), "n": np.concatenate(got) if got else []}).astype("int64")
-
-    if plan:
-        counts = cut(spark.range(shards).mapInPandas(draw, "shard bigint, k bigint, n bigint"))
-        drawn = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-        rest = spark.createDataFrame([(shards, k, max(0, int(q) - int(drawn.get(k, 0)))) for k, q in enumerate(quota)], "shard bigint, k bigint, n bigint")
-        counts = counts.unionByName(rest)
-    else:
-        counts = spark.createDataFrame([], "shard bigint, k bigint, n bigint")
+            ids = pdf["id"].to_numpy()
+            if len(ids):
+                rows = [(i, k, int(c)) for i, got in shard_counts(quota, shard_slots, int(ids.min()), int(ids.max()) + 1, seed) for k, c in enumerate(got.tolist())]
+                yield pd.DataFrame(rows, columns=["shard", "k", "n"]).astype("int64")
+
+    counts = cut(spark.range(shards).mapInPandas(draw, "shard bigint, k bigint, n bigint"))
     counts = running_total(counts, ["k"], ["shard"], "n", "g0", F.floor(F.col("shard") / 4096))
     sources = [r["source"] for r in plan]
     blocks = [-(-int(r["tokens"]) // block_tokens) for r in plan]

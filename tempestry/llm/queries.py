@@ -31,6 +31,12 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(*mixing.mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets")))
 
 
+def p9_supply(spark: SparkSession, root: str) -> DataFrame:
+    """What each source of the mix offers: its documents, and how often one may be used."""
+    _, plan = mixing.mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return plan.select("source", "target_share", "documents", "max_repeats")
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_pairs(spans.shared_spans(table(spark, root, "documents"), "doc_id", "text"))
 
@@ -40,7 +46,7 @@ def p10_shared(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_shares(docs, "doc_id", "text", spans.shared_spans(docs, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_leaks, p8_verbatim, p8_found, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p8_leaks, p8_verbatim, p8_found, p9_mix, p9_shares, p9_supply, p10_found, p10_shared)}
 
 _WINDOWS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -53,6 +59,7 @@ ORACLE = {
     "p8_found": _WINDOWS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)",
     "p8_verbatim": _WINDOWS.replace("SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s", "SELECT item_id, k, array_to_string(w[k:k + 11], ' ') AS s")
     + "SELECT doc_id, item_id, count(DISTINCT k)::INTEGER AS verbatim, any_value(greatest(len(w) - 11, 0))::INTEGER AS item_windows FROM dw JOIN iw USING (s) JOIN i USING (item_id) GROUP BY 1, 2",
+    "p9_supply": "SELECT t.source, max(t.target_share) AS target_share, count(d.doc_id)::BIGINT AS documents, max(t.max_repeats)::INTEGER AS max_repeats FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' WHERE t.source IS NOT NULL GROUP BY 1",
     "p10_found": """
 WITH g AS (SELECT doc_id, md5_number(substr(text, k, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS k FROM documents)),
 s AS (SELECT DISTINCT doc_id, h FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)))

@@ -78,6 +78,37 @@ def test_packing_keeps_every_token(spark, docs):
     assert all(n == 50 for (s, b), n in size.items() if b != last[s])
 
 
+@pytest.mark.parametrize("n", [5, 1024, 30_000, 3_000_000_000])
+def test_every_shard_is_near_the_target(n):
+    share = np.array([0.4, 0.25, 0.15, 0.1, 0.05, 0.03, 0.02])
+    quota = np.floor(share * n).astype(np.int64)
+    quota[0] += n - quota.sum()
+    shards = -(-n // 1024)
+    ends = [(0, shards)] if shards < 100 else [(0, 7), (shards - 7, shards)]
+    got = {}
+    for a, b in ends:
+        got |= dict(mixing.shard_counts(quota, 1024, a, b, 3))
+        for i in range(a, b):  # any task makes the same
+            assert (dict(mixing.shard_counts(quota, 1024, i, i + 1, 3))[i] == got[i]).all()
+    for i, c in got.items():
+        size = 1024 if i < shards - 1 else n - 1024 * (shards - 1)
+        assert c.sum() == size and (np.abs(c - share * size) <= 6 * np.sqrt(share * size) + 6).all()
+    if shards < 100:
+        assert (sum(got.values()) == quota).all()
+
+
+def test_packing_order_is_the_hash_order(docs):
+    counted = mixing.token_counts(docs.where("doc_id is not null and source is not null"), ["doc_id", "source"])
+    a, b = (sorted(map(tuple, mixing.pack(counted, 50, bucket_rows=n).collect())) for n in (1, 20_000))
+    assert a == b
+
+
+def test_no_share_at_all(spark, docs):
+    zero = spark.createDataFrame([("big", 0.0, 1), ("small", None, 2)], "source string, target_share double, max_repeats int")
+    mix, plan = mixing.mix_sources(docs, zero)
+    assert mix.count() == 0 and {r["target_tokens"] for r in plan.collect()} == {0}
+
+
 def test_empty(spark, docs):
     none = spark.createDataFrame([], "source string, target_share double, max_repeats int")
     mix, plan = mixing.mix_sources(docs, none)
