@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempestry.session import cut
+from tempestry.session import written
 
 # Texts that stand for no value.
 PLACEHOLDERS = ("", "-", "--", ".", "?", "n/a", "na", "nan", "none", "null", "nil", "unknown", "unspecified", "missing", "m", "#ref", "#n/a", "tbd")
@@ -36,25 +36,29 @@ class Prototypes:
         return F.array_min(F.array(*parts))["i"]
 
 
-def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 8, rounds: int = 5, gamma: float = 1.0) -> Prototypes:
+def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 8, rounds: int = 20, gamma: float = 1.0, still: float = 0.02) -> Prototypes:
     """k-prototypes over all rows: squared distance of standardised numbers plus gamma per differing category, over the
-    features each record has. Each round is one pass of map-side combined aggregates that returns k rows. It starts
-    from the k quantile ranges of the first feature that a record has, so it has no random part. On an empty table, or
-    with fewer rows than clusters, empty clusters vanish; there is at least one."""
-    s = df.agg(*[x for f in numeric for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
+    features each record has.
+
+    One pass gives means, deviations, quantiles and modes; the first centres are the quantiles at (i + 1/2) / k of all numbers, so
+    there is no random part. Each round is one pass of map-side combined aggregates that returns k rows, until no centre moves by
+    `still` deviations or changes a category, or after `rounds`. On an empty table, or with fewer different rows than clusters, empty
+    clusters vanish; there is at least one."""
+    points = [(i + 0.5) / k for i in range(k)]
+    stats = [x for f in numeric for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"), F.percentile_approx(f, points, 1000).alias(f"q_{f}"))]
+    s = df.agg(*stats, *[F.mode(F.col(f), True).alias(f"c_{f}") for f in categorical]).first()
     mean = {f: float(s[f"m_{f}"] or 0.0) for f in numeric}
     sd = {f: float(s[f"s_{f}"] or 0.0) or 1.0 for f in numeric}
-    first = F.coalesce(*[(F.col(f) - mean[f]) / sd[f] for f in numeric])
-    edges = df.agg(F.percentile_approx(first, [i / k for i in range(1, k)], 1000).alias("e")).first()["e"] or []
-    key = reduce(lambda a, e: a + F.coalesce((first > e).cast("int"), F.lit(0)), sorted(set(edges)), F.lit(0))
-
-    def centres(by: Column) -> list[dict[str, object]]:
-        aggs = [F.avg((F.col(f) - mean[f]) / sd[f]).alias(f) for f in numeric] + [F.mode(F.col(f), True).alias(f) for f in categorical]
-        return [r.asDict() for r in df.groupBy(by.alias("_k")).agg(*aggs).orderBy("_k").collect()]  # k rows
-
-    p = Prototypes(numeric, categorical, mean, sd, centres(key) or [{}], gamma)
+    first = [{f: (s[f"q_{f}"][i] - mean[f]) / sd[f] if s[f"q_{f}"] else None for f in numeric} | {f: s[f"c_{f}"] for f in categorical} for i in range(k)]
+    p = Prototypes(numeric, categorical, mean, sd, first, gamma)
+    aggs = [F.avg((F.col(f) - mean[f]) / sd[f]).alias(f) for f in numeric] + [F.mode(F.col(f), True).alias(f) for f in categorical]
     for _ in range(rounds):
-        p.centres = centres(p.assign()) or [{}]
+        got = {r["_k"]: r.asDict() for r in df.groupBy(p.assign().alias("_k")).agg(*aggs).collect()}  # k rows
+        new = [{f: got[i][f] for f in [*numeric, *categorical]} for i in sorted(got)] or [{}]
+        moved = len(new) != len(p.centres) or any((a[f] is None) != (b[f] is None) or (a[f] is not None and (a[f] != b[f] if f in categorical else abs(a[f] - b[f]) >= still)) for a, b in zip(new, p.centres, strict=True) for f in a)
+        p.centres = new
+        if not moved:
+            break
     return p
 
 
@@ -78,35 +82,45 @@ def fill_from_similar(
     field. Medians are sketches of bounded size (relative rank error 1/10,000). Rows with a null entity or day are
     left out.
 
-    The four levels of an entity are windows in one partitioning (an entity's group is bounded by the calendar, as it has
-    one row a day); the two of a day are one aggregate per day, combined on the map side, with an array over the k clusters,
-    and one join; the last two are k + 1 rows that become part of the plan."""
+    The first level, which fills nearly all, is a window in one partitioning by entity (a group is bounded by the calendar, as an
+    entity has one row a day). Only the cells it leaves go on: each further level aggregates the groups that still have such a
+    cell, combined on the map side, and is joined to those cells; when none is left the rest is skipped."""
     fields = [*numeric, *categorical]
     extra = [f for f in features or [] if f not in fields]
     x = df.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(F.col(entity).alias("_e"), F.col(day).cast("date").alias("_d"), *fields, *extra)
-    x = cut(x.withColumn("_month", F.month("_d")))
+    x = written(x.withColumn("_month", F.month("_d")))
     model = fit_prototypes(x, [*numeric, *extra], categorical, k)
-    x = x.withColumn("_cluster", model.assign())
-    middle = lambda f, c: F.percentile_approx(c, 0.5, 10_000) if f in numeric else F.mode(c, True)
-    last = {r["_cluster"]: r for r in x.rollup("_cluster").agg(*[middle(f, F.col(f)).alias(f) for f in fields]).collect()}  # k + 1 rows
-    clusters = sorted(c for c in last if c is not None)
-    size = max(clusters, default=0) + 1
-    by_day = x.groupBy("_d").agg(*[middle(f, F.col(f)).alias(f"_day_{f}") for f in fields], *[F.array(*[middle(f, F.when(F.col("_cluster") == c, F.col(f))) for c in range(size)]).alias(f"_dc_{f}") for f in fields])
-    levels = {"entity_month_cluster": ["_e", "_month", "_cluster"], "entity_cluster": ["_e", "_cluster"], "entity_month": ["_e", "_month"], "entity": ["_e"]}
-    x = x.repartition("_e")
-    for i, keys in enumerate(levels.values()):
-        w = Window.partitionBy(*keys)
-        x = x.withColumns({f"_{i}_{f}": F.when(F.count(f).over(w) >= support, middle(f, F.col(f)).over(w)) for f in fields})
-    x = x.join(by_day, "_d", "left")
+    x = x.withColumn("_cluster", model.assign()).select("_e", "_d", "_month", "_cluster", *fields)
+    middle = lambda f: F.percentile_approx(f, 0.5, 10_000) if f in numeric else F.mode(F.col(f), True)
+    w = Window.partitionBy("_e", "_month", "_cluster")
+    near = {f"_1_{f}": F.when(F.count(f).over(w) >= support, middle(f).over(w)) for f in fields}
+    x = x.repartition("_e").withColumns(near)
+    x = written(x.withColumns({f"_1_{f}": F.when(F.col(f).isNull(), F.col(f"_1_{f}")) for f in fields}))
+    lost = F.array_compact(F.array(*[F.when(F.col(f).isNull() & F.col(f"_1_{f}").isNull(), F.lit(f)) for f in fields]))
+    cells = written(x.select("_e", "_d", "_month", "_cluster", F.explode(lost).alias("field")).withColumns({"num": F.lit(None).cast("double"), "cat": F.lit(None).cast("string"), "how": F.lit(None).cast("string")}))
+    levels = {"entity_cluster": ["_e", "_cluster"], "entity_month": ["_e", "_month"], "entity": ["_e"], "day_cluster": ["_d", "_cluster"], "day": ["_d"], "cluster": ["_cluster"], "all": []}
+    pick = lambda fs, null: reduce(lambda a, f: F.when(F.col("field") == f, F.col(f"_v_{f}")).otherwise(a), fs, F.lit(None).cast(null))
+    left = cells.count()
+    for name, keys in levels.items():
+        if not left:
+            break
+        least = support if "_e" in keys else 1
+        groups = x.join(cells.where("how is null").select(*keys).distinct(), keys, "left_semi") if keys else x
+        table = groups.groupBy(*keys).agg(*[F.when(F.count(f) >= least, middle(f)).alias(f"_v_{f}") for f in fields])
+        got = cells.join(table, keys, "left") if keys else cells.crossJoin(F.broadcast(table))  # one row
+        num, cat = pick(numeric, "double"), pick(categorical, "string")
+        found = F.col("how").isNull() & (num.isNotNull() | cat.isNotNull())
+        cells = written(got.select("_e", "_d", "_month", "_cluster", "field", *[F.when(found, v).otherwise(F.col(c)).alias(c) for c, v in (("num", num), ("cat", cat), ("how", F.lit(name)))]))
+        left = cells.where("how is null").count()
+    wide = cells.groupBy("_e", "_d").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("num" if f in numeric else "cat"))).alias(f"_2_{f}") for f in fields],
+        *[F.max(F.when(F.col("field") == f, F.col("how"))).alias(f"_h_{f}") for f in fields],
+    )
+    x = x.join(wide, ["_e", "_d"], "left")
     cols = []
     for f in fields:
-        literal = lambda c: F.lit(last[c][f] if c in last else None)  # noqa: B023, E731
-        near = F.lit(None)
-        for c in clusters:
-            near = F.when(F.col("_cluster") == c, literal(c)).otherwise(near)
-        steps = [(n, F.col(f"_{i}_{f}")) for i, n in enumerate(levels)] + [("day_cluster", F.get(f"_dc_{f}", F.col("_cluster"))), ("day", F.col(f"_day_{f}")), ("cluster", near), ("all", literal(None))]
-        cols.append(F.coalesce(F.col(f), *[c for _, c in steps]).alias(f))
-        how = F.coalesce(*[F.when(c.isNotNull(), n) for n, c in steps], F.lit("unfilled"))
+        cols.append(F.coalesce(f, f"_1_{f}", f"_2_{f}").alias(f))
+        how = F.when(F.col(f"_1_{f}").isNotNull(), "entity_month_cluster").otherwise(F.coalesce(f"_h_{f}", F.lit("unfilled")))
         cols.append(F.when(F.col(f).isNull(), how).alias(f"{f}_fill"))
     return x.select(F.col("_e").alias(entity), F.col("_d").alias(day), *cols)
 
