@@ -99,8 +99,6 @@ def mode_of(df: DataFrame, column: str) -> Column:
 
 # The columns that each strategy of the standard plan takes, by name.
 WIND = ("WSF2", "WSF5", "AWND")
-BINARY = ("heavy_rain", "extreme_rain", "heat_wave", "extreme_heat", "freezing", "extreme_cold", "high_winds", "damaging_winds", "winter_freeze", "summer_heat", "spring_storms", "ice_storm_risk", "wet_windy_combo", "heat_demand_stress", "light_rain", "moderate_rain")
-OUTAGE = ("any_out", "num_out_per_day", "minutes_out", "customers_out", "customers_out_mean", "cust_minute_area", "pct_out_max", "pct_out_area", "pct_out_area_unified", "pct_out_area_covered", "pct_out_max_unified")
 META = ("customers_total", "minutes_in_local_day", "snapshot_minutes", "snapshots_count", "minutes_observed", "coverage", "train_mask")
 SMOOTH = ("temp_range_daily", "temp_volatility_3d", "temp_change_1d", "heating_degree_days", "cooling_degree_days", "days_since_rain", "precip_volatility_7d", "wind_acceleration_1d")
 STRESS = ("thermal_stress_index", "mechanical_stress_index", "weather_severity_score")
@@ -108,10 +106,9 @@ STRESS = ("thermal_stress_index", "mechanical_stress_index", "weather_severity_s
 
 @dataclass
 class MissingPlan:
-    """The standard plan, by groups of columns: weather types, rain and its lags to 0; temperatures and their lags interpolated; winds
-    carried forward; features made of winds and stress indices to their entity's mean; flags and outage measures to 0;
-    outage metadata and smooth features carried forward; then what is left: numbers to 0, texts to their mode, booleans to
-    false, and run_start_time_day to the day. fit keeps the entities' means (a table) and the modes (one row)."""
+    """The standard plan, by groups of columns: temperatures and their lags interpolated; winds, outage metadata and smooth features carried
+    forward; features made of winds and stress indices to their entity's mean; then what is left: numbers (weather types, rain and its lags,
+    flags, outage measures and all others) to 0, texts to their mode, booleans to false, and run_start_time_day to the day. fit keeps the entities' means (a table) and the modes (one row)."""
 
     entity: str
     order: str
@@ -121,7 +118,6 @@ class MissingPlan:
     def _split(self, df: DataFrame) -> dict[str, list[str]]:
         there = lambda names: [c for c in names if c in df.columns]
         return {
-            "zero": named(df, ("WT", "PRCP_lag")) + there(("PRCP", *BINARY, *OUTAGE)),
             "line": there(("TMAX", "TMIN")) + named(df, ("TMAX_lag", "TMIN_lag")),
             "carry": there((*WIND, *META, *SMOOTH)),
             "mean": named(df, (), ("WSF2_", "WSF5_", "AWND_")) + there(STRESS),

@@ -4,9 +4,10 @@ All windows partition by the entity and order by day and count rows, not calenda
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions.columns import days_since, flag, null_greatest, ordered, roll, roll_std, streak_parts
@@ -59,6 +60,24 @@ GROUPS = {
 }
 
 
+_ROLLED = re.compile(r"^([A-Z0-9]+)_(\d+)d_(sum|max|min|mean)$")
+_LAGGED = re.compile(r"^([A-Z0-9]+)_lag(\d+)d$")
+_TEXT, _COUNTS = ("season",), ("days_since_rain", "month", "day_of_year", "multiple_extremes", "weather_severity_score")
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """What each feature of GROUPS is: feature, family, source (the column it is made of, where it is one), statistic, days (of its window or
+    lag), kind (measure, flag, count or text). Made from the names, so it can't fall behind the catalogue."""
+    rows = []
+    for family, names in GROUPS.items():
+        for f in names:
+            roll, lag = _ROLLED.match(f), _LAGGED.match(f)
+            source, statistic, days = (roll.group(1), roll.group(3), int(roll.group(2))) if roll else (lag.group(1), "lag", int(lag.group(2))) if lag else (f if family == "raw" else None, None, None)
+            kind = "text" if f in _TEXT else "count" if f in _COUNTS or family == "streak" else "measure" if roll or lag or family in ("raw", "stress") or f.endswith(("_daily", "_3d", "_7d", "_1d", "_days")) and f != "sustained_winds_3d" else "flag"
+            rows.append((f, family, source, statistic, days, kind))
+    return spark.createDataFrame(rows, "feature string, family string, source string, statistic string, days int, kind string")
+
+
 def season(month: Column) -> Column:
     """winter, spring, summer or fall by month."""
     return F.when(month.isin(12, 1, 2), "winter").when(month.isin(3, 4, 5), "spring").when(month.isin(6, 7, 8), "summer").when(month.isNotNull(), "fall")

@@ -159,7 +159,7 @@ def qq_points(df: DataFrame, residual: str, points: int = 99) -> DataFrame:
     from statistics import NormalDist
 
     p = [(i + 0.5) / points for i in range(points)]
-    q = df.agg(F.percentile(residual, F.array(*[F.lit(x) for x in p])).alias("q"))
+    q = exact_quantiles(df.select(F.col(residual).cast("double").alias("value")), [], "value", p)
     z = F.array(*[F.lit(NormalDist().inv_cdf(x)) for x in p])
     return q.select(F.explode(F.arrays_zip(z.alias("theoretical"), F.col("q").alias("observed"))).alias("_x")).select(F.col("_x.theoretical").alias("theoretical"), F.col("_x.observed").alias("observed"))
 

@@ -230,8 +230,25 @@ def yearly_drift(df: DataFrame, day: str, columns: list[str]) -> DataFrame:
     return long.withColumn("drift", F.col("mean") - F.lag("mean").over(Window.partitionBy("column").orderBy("year")))
 
 
-def prevalence_pivot(df: DataFrame, entity: str, day: str, label: str, years: list[int]) -> DataFrame:
-    """entity and the rate of label = 1 per year of `years`."""
+def closest_to_half(df: DataFrame, entity: str, value: str, candidates: list[float]) -> DataFrame:
+    """entity, threshold, ratio: of the candidates, the threshold at which the share of the entity's rows with value >= threshold is
+    nearest to one half (ties: the lower); null values count as below. One pass over the rows."""
+    sweep = threshold_sweep(df, value, candidates, [entity])
+    best = F.min(F.struct(F.abs(F.lit(0.5) - F.col("prevalence")).alias("d"), "threshold", "prevalence")).alias("_b")
+    return sweep.groupBy(entity).agg(best).select(entity, F.col("_b.threshold").alias("threshold"), F.col("_b.prevalence").alias("ratio"))
+
+
+def years_of(df: DataFrame, day: str, most: int = 1_000) -> list[int]:
+    """The years that occur, in order; over `most` raise."""
+    years = sorted(r[0] for r in df.select(F.year(day).alias("y")).where("y is not null").distinct().limit(most + 1).collect())
+    if len(years) > most:
+        raise ValueError("more years than columns can be made of")
+    return years
+
+
+def prevalence_pivot(df: DataFrame, entity: str, day: str, label: str, years: list[int] | None = None) -> DataFrame:
+    """entity and the rate of label = 1 per year of `years` (default: all that occur)."""
+    years = years_of(df, day) if years is None else years
     y, f = F.year(day), flag(F.col(label) == 1).cast("double")
     return df.groupBy(entity).agg(*[F.avg(F.when(y == k, f)).alias(f"y{k}") for k in years])
 
@@ -261,7 +278,7 @@ def expected_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, c in df.columns) for c in expected], "column string, present boolean")
 
 
-# Parts of column names that tell of the outcome or its measurement, with the reason; the first match wins.
+# Fixed values as published: parts of column names that tell of the outcome or its measurement, with the reason; the first match wins.
 LEAKS = (
     *((p, "Operational/measurement timing") for p in ("coverage", "minutes_observed", "snapshots_count", "minutes_in_local_day", "run_start_time_day", "snapshot_minutes")),
     *((p, "Target/derived-from-target") for p in ("pct_out_max", "pct_out_area", "pct_out_area_unified", "pct_out_area_covered", "pct_out_max_unified", "any_out", "minutes_out", "customers_out", "customers_out_mean", "cust_minute_area")),

@@ -148,3 +148,12 @@ def top_features(scores: DataFrame, by: str, k: int, absolute: bool = False) ->
     """The k features with the highest score (ties by name)."""
     v = F.abs(by) if absolute else F.col(by)
     return scores.where(F.col(by).isNotNull()).orderBy(v.desc(), "feature").limit(k)
+
+
+def top_features_by_group(df: DataFrame, group: str, features: list[str], target: str, k: int, fewest: int = 3) -> DataFrame:
+    """group, feature, r, n, rank_no: the k features of each group whose correlation with the target is strongest (ties: by name)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), denan(F.col(f).cast("double")).alias("x")) for f in features])).alias("_x")
+    long = df.select(F.col(group), denan(F.col(target).cast("double")).alias("y"), pairs).select(group, "y", "_x.feature", "_x.x").where("x is not null and y is not null")
+    g = long.groupBy(group, "feature").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("r")).where((F.col("n") >= fewest) & F.col("r").isNotNull())
+    w = Window.partitionBy(group).orderBy(F.abs("r").desc(), "feature")  # one row a feature
+    return g.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k).select(group, "feature", "r", "n", "rank_no")

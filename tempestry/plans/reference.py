@@ -326,7 +326,10 @@ def a01_county_day(spark, root):
     return weather.to_entity_day(x.withColumn("day", F.date_format("day", "yyyy-MM-dd")), ["fips_code", "day"])
 
 
-@query(r"WITH o AS (SELECT station, CAST(date AS DATE) AS day, datatype, CASE WHEN regexp_matches(value, '^[+-]?[0-9]+[.][0-9]+$') THEN CAST(value AS DOUBLE) END AS v, retrieved_at FROM weather_obs), r AS (SELECT *, row_number() OVER (PARTITION BY station, day, datatype ORDER BY retrieved_at, v) AS k FROM o WHERE v IS NOT NULL), k AS (SELECT DISTINCT station, day FROM o) SELECT station, day, " + ", ".join(f"max(CASE WHEN datatype = '{d}' AND k = 1 THEN v END) AS {d}" for d in weather.DATATYPES) + " FROM k LEFT JOIN r USING (station, day) GROUP BY 1, 2")
+FIRST = _CELLS.replace("AS v FROM", "AS v, retrieved_at FROM").replace("SELECT station, day, datatype, coalesce", "SELECT station, CAST(day AS DATE) AS day, datatype, retrieved_at, coalesce")
+
+
+@query(FIRST + ", r AS (SELECT *, row_number() OVER (PARTITION BY station, day, datatype ORDER BY x IS NULL, retrieved_at, x) AS k FROM n) SELECT station, day, " + ", ".join(f"max(CASE WHEN datatype = '{d}' AND k = 1 THEN x END) AS {d}" for d in weather.DATATYPES) + " FROM r GROUP BY 1, 2")
 def r01_pivot_first(spark, root):
     cells = blockpivot.weather_cells(table(spark, root, "weather_obs"), table(spark, root, "stations"), ("retrieved_at",))
     return weather.pivot_observations(cells, ["station", "day"], "datatype", "number", "retrieved_at")
@@ -398,10 +401,10 @@ def j09_event_window(spark, root):
     return merge.event_window(x, merge.event_days(x, "county_fips", "day", "PRCP"), "county_fips", "day", ["WSF2", "TMAX"])
 
 
-@query("SELECT snapshot_id, CASE WHEN fips_code = '07001' THEN 'America/New_York' WHEN fips_code = '43001' THEN 'America/Chicago' ELSE 'UTC' END AS zone FROM outage_snapshots")
+@query("SELECT snapshot_id, CASE CASE WHEN regexp_matches(c, '^[0-9]{1,5}$') THEN left(lpad(c, 5, '0'), 2) END WHEN '07' THEN 'America/New_York' WHEN '43' THEN 'America/Chicago' WHEN '10' THEN 'America/Denver' ELSE 'UTC' END AS zone FROM (SELECT snapshot_id, regexp_replace(regexp_replace(upper(fips_code), '\\s+', '', 'g'), '^FIPS:?', '') AS c FROM outage_snapshots)")
 def j10_map_lookup(spark, root):
-    m = {"07001": "America/New_York", "43001": "America/Chicago"}
-    return table(spark, root, "outage_snapshots").select("snapshot_id", merge.map_lookup(F.col("fips_code"), m, "UTC").alias("zone"))
+    m = {"07": "America/New_York", "43": "America/Chicago", "10": "America/Denver"}
+    return table(spark, root, "outage_snapshots").select("snapshot_id", merge.map_lookup(F.left(C.fips5(F.col("fips_code")), F.lit(2)), m, "UTC").alias("zone"))
 
 
 @query("SELECT county_fips, day, WSF2, rank_no::INTEGER AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY county_fips ORDER BY WSF2 DESC, day) AS rank_no FROM wx WHERE WSF2 IS NOT NULL) WHERE rank_no <= 5".join([f"WITH {WX} ", ""]))
@@ -431,7 +434,7 @@ def f13_numbers(spark, root):
     return x.select(*KEY, F.abs("TMIN").alias("a"), F.sqrt(F.abs("TMAX")).alias("s"), F.log(c("PRCP") + 1).alias("l"), C.null_greatest(c("TMAX") - 18.3, F.lit(0.0)).alias("m"), C.clip(c("WSF2"), 5.0, 12.0).alias("c"), C.flag(c("TMAX") > 30).alias("f"), F.coalesce("AWND", "WSF2", F.lit(0.0)).alias("z"), C.safe_div(c("AWND"), c("WSF2")).alias("ratio"))
 
 
-@query(f"WITH {WX} SELECT county_fips, day, CASE WHEN WT01 IS NULL AND WT02 IS NULL AND WT03 IS NULL THEN 1 ELSE 0 END AS all_null, CASE WHEN AWND IS NULL OR WSF2 IS NULL OR WSF5 IS NULL THEN 1 ELSE 0 END AS any_null FROM wx WHERE county_fips IN ('07001', '43001') AND TMAX BETWEEN -20 AND 45")
+@query(f"WITH {WX} SELECT county_fips, day, CASE WHEN WT01 IS NULL AND WT02 IS NULL AND WT03 IS NULL THEN 1 ELSE 0 END AS all_null, CASE WHEN AWND IS NULL OR WSF2 IS NULL OR WSF5 IS NULL THEN 1 ELSE 0 END AS any_null, county_fips IN ('07001', '43001') AS in_counties, TMAX BETWEEN -20 AND 45 AS in_range FROM wx")
 def p12_row_predicates(spark, root):
     x = wx(spark, root)
     null = lambda c: F.col(c).isNull()
@@ -619,9 +622,13 @@ def q18_yearly_drift(spark, root):
     return profile.yearly_drift(wx(spark, root), "day", NUMBERS)
 
 
-@query(f"WITH {WX}, {DAILY}, {MERGED} SELECT county_fips, " + ", ".join(R(f"avg(CASE WHEN any_out = 1 THEN 1.0 ELSE 0.0 END) FILTER (year(day) = {y})", f"y{y}") for y in (2022, 2023, 2024)) + " FROM mg GROUP BY 1")
+@query(f"WITH {WX}, {DAILY}, {MERGED} SELECT county_fips, year(day)::INTEGER AS year, {R('avg(CASE WHEN any_out = 1 THEN 1.0 ELSE 0.0 END)', 'rate')} FROM mg GROUP BY 1, 2")
 def q18_prevalence_by_year(spark, root):
-    return profile.prevalence_pivot(merged(spark, root), "county_fips", "day", "any_out", [2022, 2023, 2024])
+    x = merged(spark, root)
+    years = profile.years_of(wx(spark, root), "day")
+    wide = profile.prevalence_pivot(x, "county_fips", "day", "any_out", years)
+    long = wide.unpivot("county_fips", [f"y{y}" for y in years], "year", "rate").where("rate is not null")
+    return long.select("county_fips", F.substring("year", 2, 4).cast("int").alias("year"), "rate")
 
 
 @query("SELECT unnest(['extreme_rain without heavy_rain', 'extreme_heat without heat_wave', 'damaging_winds without high_winds', 'extreme_cold without freezing', 'freeze_thaw_cycle without freezing']) AS rule, 0::BIGINT AS violations")
@@ -781,25 +788,9 @@ def m03_correlation_filter(spark, root):
     return select_features.selections_of(x, {"correlation": select_features.correlation_filter(x, names, 0.9), "variance": select_features.variance_filter(x, names)})
 
 
-@query("SELECT unnest(['a', 'b', 'c']) AS feature, unnest([3, 2, 2])::BIGINT AS methods")
-def m08_consensus(spark, root):
-    x = features.engineer(wx(spark, root), "county_fips", "day")
-    names = [f for fs in features.GROUPS.values() for f in fs if dict(x.dtypes)[f] != "string"]
-    best = select_features.top_features(select_features.f_regression(x, [f for f in names if f != "WSF5"], "WSF5"), "f", 30)
-    chosen = {"variance": select_features.variance_filter(x, names), "correlation": select_features.correlation_filter(x, names), "f": [r["feature"] for r in best.collect()]}
-    return select_features.consensus(select_features.selections_of(x, chosen))
-
-
 NAMES = {"PRCP_3d_sum": "weather_base", "WT01": "weather_types", "season": "temporal", "heavy_rain": "extreme_indicators", "wet_windy_combo": "compound_risks", "climate_zone": "geographic", "temp_range_daily": "other"}
 
 
-@query(f"SELECT unnest({list(NAMES)}) AS feature, unnest({list(NAMES.values())}) AS kind")
-def m09_kinds(spark, root):
-    names = dict.fromkeys([*NAMES, *(f for fs in features.GROUPS.values() for f in fs)])
-    x = spark.createDataFrame([(f,) for f in names], "feature string")
-    return x.select("feature", select_features.categorise(F.col("feature")).alias("kind"))
-
-
 # ---- evaluation --------------------------------------------------------------------------------------------------------
 
 

@@ -94,6 +94,15 @@ def get_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a file, making the folder it goes to."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"can't move {old} to {new}")
+
+
 def list_files(spark: SparkSession, folder: str) -> list[str]:
     """The full paths of the files and folders right under a folder of any file system, sorted; none if it isn't there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)

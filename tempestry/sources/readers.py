@@ -6,7 +6,6 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tempestry.operators.outages import denominators
 from tempestry.operators.weather import union_by_name
-from tempestry.session import ship
+from tempestry.session import list_files, ship, small
 
 # Names under which the snapshot columns are delivered, by canonical name, in order of preference.
 SNAPSHOT_NAMES = {
@@ -67,26 +66,34 @@ def snapshots(spark: SparkSession, path: str, places: list[str] | None = None) -
     return x.where(F.col("fips_code").isin(places)) if places else x
 
 
-def yearly_files(folder: str, pattern: re.Pattern = YEAR_FILE, skip: str = "combined") -> dict[int, str]:
-    """year -> file, for names that match strictly and don't contain `skip`."""
-    return {int(m.group(1)): str(p) for p in sorted(Path(folder).iterdir()) if (m := pattern.match(p.name)) and skip not in p.name}
+def yearly_files(spark: SparkSession, folder: str, pattern: re.Pattern = YEAR_FILE, skip: str = "combined") -> dict[int, str]:
+    """year -> file, for names that match strictly and don't contain `skip`, in a folder of any file system."""
+    names = {p: p.rsplit("/", 1)[-1] for p in list_files(spark, folder)}
+    return {int(m.group(1)): p for p, name in names.items() if (m := pattern.match(name)) and skip not in name}
 
 
 def county_years(spark: SparkSession, files: list[str], counties: DataFrame) -> DataFrame:
-    """Files named ..._<fips>_<year>.csv as one table: united by name, with fips_code and year of the name and the county's columns."""
-    parts = [spark.read.csv(f, header=True).withColumn("_file", F.col("_metadata.file_name")) for f in files]
+    """Files named ..._<fips>_<year>.csv as one table: united by name, with fips_code and year of the name and the county's columns.
+
+    Files of one header are read together (a header line each is all that is read beforehand), so there is a scan per kind of header,
+    not per file."""
+    heads: dict[str, list[str]] = {}
+    for f in files:
+        heads.setdefault(spark.read.option("wholetext", False).text(f).limit(1).first()[0], []).append(f)
+    parts = [spark.read.csv(fs, header=True, enforceSchema=False).withColumn("_file", F.col("_metadata.file_name")) for fs in heads.values()]
     x = union_by_name(parts)
     x = x.withColumn("fips_code", F.regexp_extract("_file", r"(\d{5})_20\d{2}", 1)).withColumn("year", F.regexp_extract("_file", r"(20\d{2})\.csv$", 1).try_cast("int")).drop("_file")
-    return x.join(F.broadcast(counties), "fips_code", "left")  # the target counties: a list in code
+    return x.join(small(counties), "fips_code", "left")
 
 
-def resolve_dataset(folder: str, path: str | None = None, names: tuple[str, ...] = ("encoded", "standardized", "capped", "imputed", "merged")) -> list[str]:
-    """An explicit path; else the first of the named files that is there; else all CSV and Parquet files of the folder."""
+def resolve_dataset(spark: SparkSession, folder: str, path: str | None = None, names: tuple[str, ...] = ("encoded", "standardized", "capped", "imputed", "merged")) -> list[str]:
+    """An explicit path; else the first of the named files that is there; else all CSV and Parquet files of the folder (of any file
+    system)."""
     if path:
         return [path]
-    files = sorted(str(p) for p in Path(folder).glob("*") if p.suffix in (".csv", ".parquet"))
+    files = [p for p in list_files(spark, folder) if p.rsplit(".", 1)[-1] in ("csv", "parquet")]
     for n in names:
-        if hit := [f for f in files if n in Path(f).stem]:
+        if hit := [f for f in files if n in f.rsplit("/", 1)[-1].rsplit(".", 1)[0]]:
             return hit[:1]
     if not files:
         raise FileNotFoundError(folder)
@@ -126,24 +133,33 @@ def reconstruct_day(df: DataFrame) -> DataFrame:
 
 
 class _Page(InputPartition):
-    def __init__(self, query: str) -> None:
-        self.query = query
+    def __init__(self, queries: list[str]) -> None:
+        self.queries = queries
 
 
 class PagedReader(DataSourceReader):
-    """Reads one query per partition, page by page: offset grows by limit until the announced count or a short page; requests are spaced and
+    """Reads queries dealt to at most `parallel` partitions, page by page: offset grows by limit until the announced count or a short page; requests are spaced and
     failures of 502 to 504 are tried again with growing pauses."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(q) for q in self.options.get("queries", "").split("|")]
+        queries = self.options.get("queries", "").split("|")
+        n = max(1, min(len(queries), int(self.options.get("parallel", PARALLEL))))
+        return [_Page(queries[i::n]) for i in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
-        for record in paged(o["url"], partition.query, int(o.get("limit", 1000)), float(o.get("pause", 0.5)), int(o.get("tries", 5)), {"token": o["token"]} if o.get("token") else {}):
-            yield (json.dumps(record, sort_keys=True),)
+        for query in partition.queries:
+            # A query may name another after ">", asked only if it has no result (fewer datatypes, say).
+            for q in query.split(">"):
+                some = False
+                for record in paged(o["url"], q, int(o.get("limit", 1000)), float(o.get("pause", 0.5)), int(o.get("tries", 5)), {"token": o["token"]} if o.get("token") else {}):
+                    some = True
+                    yield (json.dumps(record, sort_keys=True),)
+                if some:
+                    break
 
 
 class PagedSource(DataSource):
@@ -197,8 +213,17 @@ def paged(url: str, query: str, limit: int, pause: float, tries: int, headers: d
             return
 
 
-def quarter_queries(location: str, year: int, datatypes: tuple[str, ...]) -> list[str]:
-    """The queries of a county-year in quarters, with the datatype filter on the server's side."""
+#: At most so many requests of one reader at once, over all its tasks: queries are dealt to so many partitions, each of which asks for one page at
+#: a time, and a partition's pause is kept between its requests.
+PARALLEL = 5
+# The datatypes asked for, and those asked for where a county answers nothing to them.
+DATATYPES_ALL = ("PRCP", "TMAX", "TMIN", "WSF2", "AWND", "WSF5", "WT01", "WT02", "WT03", "WT04", "WT05", "WT06", "WT08", "WT11")
+DATATYPES_BASE = ("PRCP", "TMAX", "TMIN")
+
+
+def quarter_queries(location: str, year: int, datatypes: tuple[str, ...] = DATATYPES_ALL, base: tuple[str, ...] = ()) -> list[str]:
+    """The queries of a county-year in quarters, with the datatype filter on the server's side; with base datatypes, each falls back to these
+    where it has no result."""
     ends = (("01-01", "03-31"), ("04-01", "06-30"), ("07-01", "09-30"), ("10-01", "12-31"))
-    kinds = "&".join(f"datatypeid={d}" for d in datatypes)
-    return [f"locationid={location}&startdate={year}-{a}&enddate={year}-{b}&{kinds}" for a, b in ends]
+    ask = lambda a, b, kinds: f"locationid={location}&startdate={year}-{a}&enddate={year}-{b}&" + "&".join(f"datatypeid={d}" for d in kinds)
+    return [ask(a, b, datatypes) + (">" + ask(a, b, base) if base else "") for a, b in ends]

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempestry.session import put_text
+
 
 def to_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV files with a header; dates as yyyy-mm-dd."""
@@ -38,15 +39,14 @@ def markdown(df: DataFrame, most: int = 1_000) -> str:
 
 
 def report(sections: dict[str, DataFrame], path: str, title: str) -> None:
-    """Each section's table under its name."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(f"# {title}\n\n" + "\n\n".join(f"## {k}\n\n{markdown(v)}" for k, v in sections.items()) + "\n")
+    """Each section's table under its name, in a file of any file system."""
+    spark = SparkSession.active()
+    put_text(spark, path, f"# {title}\n\n" + "\n\n".join(f"## {k}\n\n{markdown(v)}" for k, v in sections.items()) + "\n")
 
 
 def facts(values: dict, path: str) -> None:
-    """A JSON file of plain values."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, indent=1, sort_keys=True, default=str))
+    """A JSON file of plain values, on any file system."""
+    put_text(SparkSession.active(), path, json.dumps(values, indent=1, sort_keys=True, default=str))
 
 
 def percent_text(c, digits: int = 2):

@@ -3,7 +3,7 @@
 import pytest
 from parity import check
 
-from tempestry.plans import problems, reference
+from tempestry.plans import inventory, problems, reference  # noqa: F401  (inventory adds to reference)
 
 Q, S = problems.QUERIES | reference.QUERIES, problems.ORACLE | reference.ORACLE
 

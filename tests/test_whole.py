@@ -7,7 +7,7 @@ from parity import connect, table
 from pyspark.sql import functions as F
 
 from tempestry.operators import blockpivot, features, rolling, weather
-from tempestry.plans import problems, reference
+from tempestry.plans import inventory, problems, reference  # noqa: F401  (inventory adds to reference)
 
 D = date(2024, 1, 1)
 
