@@ -470,16 +470,53 @@ def holds_sql(*names: str) -> str:
     return f"SELECT unnest({list(names)}) AS what, true AS holds"
 
 
-@query(holds_sql("held-out auc over 0.5", "average precision over prevalence"))
-def l03_held_out(spark, root):
+def judged(spark, root, make) -> DataFrame:
+    """A balanced classifier of wet days, trained on the first half of the days and judged on the rest."""
     _, train, test = halves(spark, root)
     train = ml.with_weights(train, "y")
-    total = train.agg(F.sum("weight")).first()[0] or 1.0
-    model = ml.Pipeline(stages=[*ml.assembled(WEATHER), ml.logistic("y", 1.0, total)]).fit(train)
+    model = ml.Pipeline(stages=[*ml.assembled(WEATHER), make(train)]).fit(train)
     r = metrics.ranking(ml.positive_probability(model.transform(test)), "y", "score").first()
     return _holds(spark, {"held-out auc over 0.5": r["roc_auc"] > 0.5, "average precision over prevalence": r["average_precision"] > r["positives"] / (r["positives"] + r["negatives"])})
 
 
+JUDGED = ("held-out auc over 0.5", "average precision over prevalence")
+
+
+@query(holds_sql(*JUDGED))
+def l03_logistic(spark, root):
+    return judged(spark, root, lambda train: ml.logistic("y", 1.0, train.agg(F.sum("weight")).first()[0] or 1.0))
+
+
+@query(holds_sql(*JUDGED))
+def l10_random_forest(spark, root):
+    return judged(spark, root, lambda _: ml.estimator("rf", "y", numTrees=20, maxDepth=6, seed=42))
+
+
+@query(holds_sql(*JUDGED))
+def l11_boosting(spark, root):
+    return judged(spark, root, lambda _: ml.estimator("gbt", "y", maxIter=10, maxDepth=4, seed=42))
+
+
+@query(holds_sql("held-out error under the deviation", "penalty shrinks the coefficients"))
+def l09_elastic_net(spark, root):
+    """Scaled features, both penalties; trained on the first half of the days, judged on the rest."""
+    _, train, test = halves(spark, root)
+    fit = lambda reg: ml.Pipeline(stages=[*ml.assembled(["TMIN", "WSF2", "AWND"], scale=True), ml.estimator("elastic_net", "TMAX", None, regParam=reg, elasticNetParam=0.5)]).fit(train)
+    small_, large = fit(0.01), fit(5.0)
+    r = metrics.regression(small_.transform(test), "TMAX", "prediction").first()
+    sd = test.agg(F.stddev_pop("TMAX")).first()[0]
+    size = lambda m: sum(abs(c) for c in m.stages[-1].coefficients.toArray())
+    return _holds(spark, {"held-out error under the deviation": r["rmse"] < sd, "penalty shrinks the coefficients": size(large) < size(small_)})
+
+
+@query(holds_sql("adds up to 1", "all features there", "strongest first"))
+def m07_forest_importance(spark, root):
+    x, _, _ = halves(spark, root)
+    model = ml.Pipeline(stages=[*ml.assembled(WEATHER), ml.estimator("rf", "y", None, numTrees=20, maxDepth=6, seed=42)]).fit(x)
+    got = ml.importances(model.stages[-1], WEATHER)
+    return _holds(spark, {"adds up to 1": abs(sum(v for _, v in got) - 1) < 1e-9, "all features there": {f for f, _ in got} == set(WEATHER), "strongest first": [v for _, v in got] == sorted((v for _, v in got), reverse=True)})
+
+
 @query(holds_sql("log loss under that of the shares", "three probabilities that add up to 1"))
 def l04_multinomial(spark, root):
     """Three classes of rain, log loss on the days held out."""

@@ -45,6 +45,11 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_flags(spark, root).where("impossible or spike or stuck").select("county_fips", _day(), "field")
 
 
+def p2_rules(spark: SparkSession, root: str) -> DataFrame:
+    """The two rules beside the tail: readings impossible in nature, and stuck ones."""
+    return p2_flags(spark, root).where("impossible or stuck").select("county_fips", _day(), "field", "impossible", "stuck")
+
+
 def p3_times(spark: SparkSession, root: str) -> DataFrame:
     snaps = table(spark, root, "outage_snapshots").select("snapshot_id", "feed_id", "fips_code", "run_start_time")
     return timestamps.normalise_times(snaps, "run_start_time", "feed_id", "fips_code", table(spark, root, "feeds"), table(spark, root, "counties"))
@@ -54,12 +59,21 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_times(spark, root).where(F.col("time_status") == "ok").select("snapshot_id", "utc_second", F.date_format("local_day", _DAY).alias("local_day"))
 
 
+def p3_status(spark: SparkSession, root: str) -> DataFrame:
+    return p3_times(spark, root).select("snapshot_id", "time_status")
+
+
 def p4_table(spark: SparkSession, root: str) -> DataFrame:
     names = drift.names_of(table(spark, root, "field_names"))
     t = drift.rescue_ingest(table(spark, root, "outage_raw"), "payload", names, keep=["record_id", "publisher", "file_name", "file_date", "line_no"])
     return drift.replay(t, {"batch_note": "string"})
 
 
+def p4_typed(spark: SparkSession, root: str) -> DataFrame:
+    """The typed fields of p4_table."""
+    return p4_table(spark, root).select("record_id", "fips_code", "customers_out", F.unix_seconds("run_start_time").alias("run_second"), "customers_total", "state", "any_out", "utility", "batch_note")
+
+
 def p4_changes(spark: SparkSession, root: str) -> DataFrame:
     return drift.field_changes(table(spark, root, "outage_raw"), "publisher", "file_name", "file_date", "payload", table(spark, root, "field_names"))
 
@@ -125,7 +139,7 @@ def rounded(expr: str, alias: str, digits: int = 6) -> str:
     return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits}) END AS {alias}"
 
 
-QUERIES = {f.__name__: f for f in (p1_totals, p1_found, p2_flags, p2_found, p3_times, p3_found, p4_table, p4_changes, p4_found, p5_filled, p5_found, p6_periods, p6_found, p7_wide, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_totals, p1_found, p2_flags, p2_rules, p2_found, p3_times, p3_status, p3_found, p4_table, p4_typed, p4_changes, p4_found, p5_filled, p5_found, p6_periods, p6_found, p7_wide, p7_found)}
 
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY county_fips, day ORDER BY loaded_at DESC) AS rn_ FROM weather_features WHERE county_fips IS NOT NULL AND day IS NOT NULL) WHERE rn_ = 1)"
 _CALENDAR = f"""
@@ -193,6 +207,42 @@ UNION ALL SELECT file_name, field, 'renamed' FROM j WHERE cn <> pn
 UNION ALL SELECT file_name, field, 'retyped' FROM j WHERE len(cy) > 0 AND len(py) > 0 AND cy <> py
 """
 
+_P3_STATUS = _P3[: _P3.rindex("SELECT snapshot_id, sec AS utc_second")].rstrip() + """,
+st AS (SELECT o.snapshot_id, count(t.sec) AS n FROM o LEFT JOIN tried t USING (snapshot_id) WHERE o.z = '' AND o.zone IS NOT NULL GROUP BY 1)
+SELECT a.snapshot_id, CASE WHEN s.snapshot_id IS NULL THEN 'unknown_place' WHEN f.snapshot_id IS NOT NULL THEN 'ok' WHEN st.n > 1 THEN 'ambiguous' WHEN st.n = 0 THEN 'nonexistent' ELSE 'unreadable' END AS time_status
+FROM outage_snapshots a LEFT JOIN (SELECT DISTINCT snapshot_id FROM s) s USING (snapshot_id) LEFT JOIN (SELECT DISTINCT snapshot_id FROM found) f USING (snapshot_id) LEFT JOIN st USING (snapshot_id)
+"""
+
+_P2 = f"""
+WITH f AS (SELECT county_fips, day, field, v FROM (SELECT county_fips, day, unnest(['TMAX', 'WSF5', 'PRCP']) AS field, unnest([TMAX, WSF5, PRCP]) AS v FROM {_LATEST}) WHERE v IS NOT NULL AND NOT isnan(v)),
+n AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY county_fips, field ORDER BY day) THEN 0 ELSE 1 END AS fresh FROM f),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY county_fips, field ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM n),
+c AS (SELECT *, count(*) OVER (PARTITION BY county_fips, field, run) AS k FROM r),
+z AS (SELECT county_fips, strftime(day, '%Y-%m-%d') AS day, field, CASE field WHEN 'TMAX' THEN v < -90 OR v > 57 WHEN 'WSF5' THEN v < 0 OR v > 114 ELSE v < 0 OR v > 1900 END AS impossible, v <> 0 AND k >= 5 AS stuck FROM c)
+SELECT * FROM z WHERE impossible OR stuck
+"""
+
+
+def _typed_sql(cast: str, *names: str) -> str:
+    """The first of a payload's values under names that can be cast."""
+    value = lambda n: f"json_extract(payload, '$.\"{n}\"')"
+    text = lambda v: f"CASE json_type({v}) WHEN 'OBJECT' THEN coalesce({v} ->> '$.v', {v} ->> '$.name', {v} ->> '$.value') WHEN 'ARRAY' THEN {v} ->> '$[0]' ELSE {v} ->> '$' END"
+    return "coalesce(" + ", ".join("(" + cast.replace("{t}", f"({text(value(n))})") + ")" for n in names) + ")"
+
+
+_CODE_SQL = r"(SELECT CASE WHEN regexp_matches(c, '^[0-9]{1,5}$') THEN lpad(c, 5, '0') END FROM (SELECT regexp_replace(regexp_replace(upper({t}), '\s+', '', 'g'), '^FIPS:?', '') AS c))"
+_WHOLE_SQL = r"CASE WHEN regexp_matches(trim({t}), '^[+-]?[0-9]+([.]0*)?$') THEN try_cast(regexp_replace(trim({t}), '[.]0*$', '') AS BIGINT) END"
+_MOMENT_SQL = r"CASE WHEN regexp_matches({t}, '^[0-9]{9,10}$') THEN try_cast({t} AS BIGINT) ELSE epoch_us(try_cast(regexp_replace(trim({t}), '(Z|\+00:?00)$', '') AS TIMESTAMP)) // 1000000 END"
+_TEXT_SQL = "CASE WHEN trim({t}) <> '' THEN trim({t}) END"
+_P4_TYPED = f"""SELECT record_id, {_typed_sql(_CODE_SQL, 'fips_code', 'County_FIPS', 'FIPS_CODE', 'county_fips', 'fips', 'fips5')} AS fips_code,
+{_typed_sql(_WHOLE_SQL, 'customers_out', 'cust_out', 'customers_affected', 'outage_customers', 'sum')} AS customers_out,
+{_typed_sql(_MOMENT_SQL, 'run_start_time', 'interval_start', 'start_time', 'timestamp_utc')} AS run_second,
+{_typed_sql(_WHOLE_SQL, 'customers_total', 'Customers', 'total_customers')} AS customers_total,
+{_typed_sql(_TEXT_SQL, 'state', 'st', 'state_name')} AS state,
+{_typed_sql("try_cast(lower(trim({t})) AS BOOLEAN)", 'any_out', 'is_out', 'out_flag')} AS any_out,
+{_typed_sql(_TEXT_SQL, 'utility', 'provider', 'utility_name')} AS utility,
+{_typed_sql(_TEXT_SQL, 'batch_note')} AS batch_note FROM outage_raw"""
+
 _P6 = """
 WITH i AS (SELECT fips_code AS e, run_start_time AS s, run_end_time AS t FROM outage_intervals WHERE fips_code IS NOT NULL AND run_end_time > run_start_time GROUP BY ALL),
 m AS (SELECT *, max(t) OVER (PARTITION BY e ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM i)
@@ -211,7 +261,18 @@ ORACLE = {
     + " FROM r",
     "p1_found": f"WITH {_CALENDAR} SELECT county_fips, strftime(day, '%Y-%m-%d') AS day FROM r WHERE round(PRCP_total_7d, 1) = 0.0 AND round(PRCP_total_30d, 1) > 40.0",
     "p3_found": _P3,
+    "p3_status": _P3_STATUS,
+    "p2_rules": _P2,
     "p4_found": _P4,
+    "p4_typed": _P4_TYPED,
+    "p4_changes": _P4[: _P4.index("j AS (")].rstrip()
+    + """
+j AS (SELECT coalesce(c.publisher, p.publisher) AS publisher, coalesce(c.file_name, p.file_name) AS file_name, coalesce(c.field, p.field) AS field, c.n AS cn, p.n AS pn, c.ty AS cy, p.ty AS py
+      FROM c FULL JOIN p ON c.publisher = p.publisher AND c.file_name = p.file_name AND c.field = p.field)
+SELECT publisher, file_name, field, 'added' AS change, NULL AS "before", array_to_string(cn, ',') AS "after" FROM j WHERE pn IS NULL
+UNION ALL SELECT publisher, file_name, field, 'removed', array_to_string(pn, ','), NULL FROM j WHERE cn IS NULL
+UNION ALL SELECT publisher, file_name, field, 'renamed', array_to_string(pn, ','), array_to_string(cn, ',') FROM j WHERE cn <> pn
+UNION ALL SELECT publisher, file_name, field, 'retyped', array_to_string(py, ','), array_to_string(cy, ',') FROM j WHERE len(cy) > 0 AND len(py) > 0 AND cy <> py""",
     "p5_found": f"""WITH f AS (SELECT county_fips, strftime(day, '%Y-%m-%d') AS day, * EXCLUDE (county_fips, day) FROM {_LATEST})
         SELECT county_fips, day, 'AWND' AS field FROM f WHERE AWND IS NULL OR isnan(AWND) OR AWND < 0 OR AWND > 114
         UNION ALL SELECT county_fips, day, 'WSF2' FROM f WHERE WSF2 IS NULL OR isnan(WSF2) OR WSF2 < 0 OR WSF2 > 114

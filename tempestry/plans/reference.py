@@ -931,47 +931,3 @@ def l14_county_medians(spark, root):
 @query(f"WITH {WX}, q AS (SELECT quantile_cont(PRCP, 0.976) AS q FROM wx) SELECT county_fips, day, {flag('PRCP >= q')} AS severe FROM wx, q")
 def l15_quantile_label(spark, root):
     return ml.quantile_label(wx(spark, root), "PRCP", 0.976).select(*KEY, "severe")
-
-
-MODEL_FEATURES = ["TMAX", "TMIN", "WSF2", "AWND", "PRCP_lag1d", "TMAX_lag1d"]
-
-
-def training(spark, root):
-    x = features.engineer(wx(spark, root), "county_fips", "day")
-    x = x.where(F.col("PRCP").isNotNull()).withColumn("y", (F.col("PRCP") > 1).cast("int"))
-    return ml.with_weights(ml.prepared(x, MODEL_FEATURES, [*KEY, "y", "PRCP"]), "y")
-
-
-def _fitted(spark, root, make) -> DataFrame:
-    x = training(spark, root).cache()
-    model = ml.Pipeline(stages=[*ml.assembled(MODEL_FEATURES), make(x)]).fit(x.where(F.year("day") <= 2022))
-    return metrics.ranking(ml.positive_probability(model.transform(x)), "y", "score").select(F.lit("all").alias("rows"), "positives", "negatives", "roc_auc", "average_precision")
-
-
-@query(None)
-def l03_logistic(spark, root):
-    return _fitted(spark, root, lambda x: ml.logistic("y", 1.0, float(x.count())))
-
-
-@query(None)
-def l10_random_forest(spark, root):
-    return _fitted(spark, root, lambda x: ml.estimator("rf", "y", numTrees=20, maxDepth=6, seed=42))
-
-
-@query(None)
-def l11_boosting(spark, root):
-    return _fitted(spark, root, lambda x: ml.estimator("gbt", "y", maxIter=10, maxDepth=4, seed=42))
-
-
-@query(None)
-def l09_elastic_net(spark, root):
-    x = training(spark, root).cache()
-    model = ml.Pipeline(stages=[*ml.assembled(MODEL_FEATURES, scale=True), ml.estimator("elastic_net", "PRCP", None, regParam=0.1, elasticNetParam=0.5)]).fit(x)
-    return metrics.regression(model.transform(x), "PRCP", "prediction")
-
-
-@query(None)
-def m07_forest_importance(spark, root):
-    x = training(spark, root)
-    model = ml.Pipeline(stages=[*ml.assembled(MODEL_FEATURES), ml.estimator("rf", "y", numTrees=20, maxDepth=6, seed=42)]).fit(x)
-    return spark.createDataFrame(ml.importances(model.stages[-1], MODEL_FEATURES), "feature string, importance double")

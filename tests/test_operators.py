@@ -351,7 +351,10 @@ def test_selection_rules(spark):
 def test_splits_and_folds(spark):
     df = spark.createDataFrame([(i, i % 2, 2020 + i % 5) for i in range(600)], "id int, y int, year int")
     s = ml.stratified_split(df, "y", ["id"])
-    assert 0.72 < s.where("split = 'train'").count() / 600 < 0.88
+    assert {(r["y"], r["split"]): r["n"] for r in s.groupBy("y", "split").agg(F.count("*").alias("n")).collect()} == {(k, p): n for k in (0, 1) for p, n in (("train", 240), ("test", 60))}
+    odd = ml.stratified_split(spark.createDataFrame([(1, None), (1, None), (1, None), (2, 7)], "id int, y int"), "y", ["id"], 0.5)
+    assert sorted((str(r["y"]), r["split"]) for r in odd.collect()) == [("7", "train"), ("None", "test"), ("None", "train"), ("None", "train")]
+    assert ml.stratified_split(df.limit(0), "y", ["id"]).count() == 0
     assert {r["fold"] for r in ml.stratified_folds(df, "y", ["id"]).collect()} == set(range(5))
     folds = {r["fold"]: (r["n"], r["a"], r["b"]) for r in ml.rolling_folds(df, ["id"], 5).groupBy("fold").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()}
     assert folds == {i: (100, 100 * i, 100 * i + 99) for i in range(6)}
@@ -361,6 +364,33 @@ def test_splits_and_folds(spark):
     assert len(ml.sampled_grid({"a": [1, 2], "b": [1, 2, 3]}, 4)) == 4
 
 
+def test_smote(spark):
+    rows = [(i % 10 == 0, float(i % 10 == 0) * 5 + i / 100, float(i)) for i in range(100)] + [(None, 1.0, 1.0)]
+    x = spark.createDataFrame(rows, "y boolean, a double, b double")
+    got = ml.smote(x, "y", ["a", "b"], k=3)
+    made = [r for r in got.where("made").collect()]
+    assert 60 <= len(made) <= 100 and all(r["y"] and 5.0 <= r["a"] <= 5.9 and 0 <= r["b"] <= 90 for r in made)
+    assert got.where("not made").count() == 100
+    one = ml.smote(spark.createDataFrame([(1, 1.0), (0, 2.0), (0, None)], "y int, a double"), "y", ["a"])
+    assert sorted((r["y"], r["a"], r["made"]) for r in one.collect()) == [(0, 0.0, False), (0, 2.0, False), (1, 1.0, False), (1, 1.0, True)]
+    assert ml.smote(x.limit(0), "y", ["a"]).count() == 0
+
+
+def test_only_one_process_may_use_a_folder_of_its_own(monkeypatch):
+    from types import SimpleNamespace
+
+    from tempestry import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    for master in ("local-cluster[3,2,1024]", "yarn"):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None), conf=Conf())
+        with pytest.raises(RuntimeError, match="share"):
+            session.ensure_checkpoint_dir(fake)
+
+
 def test_training_round_trip(spark, tmp_path):
     import random
 
@@ -377,7 +407,7 @@ def test_training_round_trip(spark, tmp_path):
     a, b = (metrics.ranking(ml.positive_probability(m.transform(df)), "y", "score").first()["roc_auc"] for m in (model, again))
     assert a == b > 0.9
     reg = ml.Pipeline(stages=[*ml.assembled(["a", "b"]), ml.estimator("elastic_net", "t", None, regParam=0.001)]).fit(df.withColumn("t", F.col("a") * 3))
-    imp = {r["feature"]: r["rmse_increase"] for r in ml.permutation_importance(reg, df.withColumn("t", F.col("a") * 3), ["a", "b"], "t", repeats=2).collect()}
+    imp = {r["feature"]: r["rmse_increase"] for r in ml.permutation_importance(reg, df.withColumn("t", F.col("a") * 3), ["a", "b"], "t", ["id"], repeats=2).collect()}
     assert imp["a"] > 1 and abs(imp["b"]) < 0.1
 
 
@@ -398,8 +428,8 @@ def test_files(spark, tmp_path):
     assert readers.snapshots(spark, str(tmp_path / "in/x.csv"), ["06073"]).count() == 1
     for n in ("outages_daily_2019.csv", "outages_daily_2020.csv", "outages_daily_2019_combined.csv", "other.csv"):
         (tmp_path / n).write_text("a\n1\n")
-    assert sorted(readers.yearly_files(str(tmp_path))) == [2019, 2020]
-    assert readers.resolve_dataset(str(tmp_path), "p") == ["p"] and len(readers.resolve_dataset(str(tmp_path))) == 4
+    assert sorted(readers.yearly_files(spark, str(tmp_path))) == [2019, 2020]
+    assert readers.resolve_dataset(spark, str(tmp_path), "p") == ["p"] and len(readers.resolve_dataset(spark, str(tmp_path))) == 4
     (tmp_path / "weather_features_FIPS_06075_2019.csv").write_text("day,PRCP\n2019-01-01,1\n")
     (tmp_path / "weather_features_FIPS_06073_2020.csv").write_text("day,TMAX\n2020-01-01,2\n")
     dim = spark.createDataFrame([("06075", "CA")], "fips_code string, state string")
@@ -456,6 +486,8 @@ def test_paged_source(spark):
     assert sorted(json.loads(r["record"])["i"] for r in df.collect()) == list(range(25))
     server.shutdown()
     assert len(readers.quarter_queries("FIPS:1", 2020, ("PRCP", "TMAX"))) == 4
+    assert readers.quarter_queries("FIPS:1", 2020, base=("PRCP",))[0].split(">")[1] == "locationid=FIPS:1&startdate=2020-01-01&enddate=2020-03-31&datatypeid=PRCP"
+    assert len(readers.PagedReader({"queries": "|".join("abcdefg"), "parallel": "3"}).partitions()) == 3
 
 
 def test_streams_match_batch(spark, tmp_path):

@@ -143,6 +143,23 @@ def test_times_that_have_no_instant(spark, dims):
     assert got == {k: (v, None) for k, v in bad.items()}
 
 
+YEARS = [(1750, 6, 1), (1899, 3, 4), (1901, 7, 4), (2101, 3, 4), (2101, 7, 4), (2150, 12, 31), (2400, 2, 29), (9998, 8, 1)]
+
+
+def test_times_of_any_year(spark, dims):
+    """As the zone database has them; beyond it by the rules of a year with the same calendar."""
+    from zoneinfo import ZoneInfo
+
+    zone = ZoneInfo("America/New_York")
+    df = spark.createDataFrame([(2, "07001", f"{y:04d}-{m:02d}-{d:02d} 10:00:00", y) for y, m, d in YEARS] + [(1, "07001", f"{y:04d}-{m:02d}-{d:02d}T02:00:00Z", -y) for y, m, d in YEARS], "feed_id int, fips_code string, run_start_time string, k int")
+    got = {r["k"]: (r["time_status"], r["utc_second"], r["local_day"]) for r in timestamps.normalise_times(df, "run_start_time", "feed_id", "fips_code", *dims).collect()}
+    for y, m, d in YEARS:
+        wall = datetime(y, m, d, 10, tzinfo=zone)
+        second = int((wall.replace(tzinfo=UTC) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() - wall.utcoffset().total_seconds())
+        assert got[y] == ("ok", second, date(y, m, d)), y
+        assert got[-y][0] == "ok" and got[-y][2] == date(y, m, d) - timedelta(1), y
+
+
 def test_times_keys_and_clashes(spark, dims):
     df = spark.createDataFrame([(2, "99999", "1546708500", 1, "x"), (None, None, "1546708500", 2, "y"), (9, "07001", "2021-01-01 00:00:00", 3, "z")], "feed_id int, fips_code string, run_start_time string, _fid int, utc_second string")
     out = timestamps.normalise_times(df, "run_start_time", "feed_id", "fips_code", *dims)
@@ -224,6 +241,29 @@ def test_fill_from_similar(spark):
     assert all(r["y_fill"] is None for r in got)
 
 
+def test_fill_beats_the_county_month(spark):
+    """Of readings hidden from real data, the fill is nearer than the county's median of the month."""
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test data here")
+    from pyspark.sql import Window
+
+    from tempestry.plans import problems
+
+    x = problems._features(spark, folder, ["AWND", "WSF2", "TMAX", "PRCP", "TMIN"])
+    x = problems.written(x.select("county_fips", "day", *[F.when(~F.isnan(c) & F.col(c).between(-60, 60), F.col(c)).alias(c) for c in ("AWND", "WSF2", "TMAX", "PRCP", "TMIN")]))
+    hide = (F.pmod(F.xxhash64("county_fips", "day"), F.lit(20)) == 0) & F.col("TMAX").isNotNull()
+    known = x.withColumn("truth", F.when(hide, F.col("TMAX"))).withColumn("TMAX", F.when(~hide, F.col("TMAX")))
+    w = Window.partitionBy("county_fips", F.month("day"))
+    known = known.withColumn("plain", F.percentile("TMAX", 0.5).over(w))
+    out = impute_groups.fill_from_similar(known, "county_fips", "day", ["AWND", "WSF2", "TMAX", "PRCP"], [], ["TMIN"])
+    e = out.select("county_fips", "day", F.col("TMAX").alias("fill")).join(known.where("truth is not null"), ["county_fips", "day"]).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("fill") - F.col("truth"))).alias("a"), F.avg(F.abs(F.col("plain") - F.col("truth"))).alias("b")).first()
+    print("hidden", e["n"], "error", e["a"], "of the county-month median", e["b"])
+    assert e["n"] > 100 and e["a"] < e["b"]
+
+
 def test_fill_nothing_there(spark):
     df = spark.createDataFrame([("a", D, None, None), ("b", D, None, "s"), (None, D, 1.0, "s")], "e string, d date, x double, z string")
     got = {r["e"]: (r["x"], r["x_fill"], r["z"], r["z_fill"]) for r in impute_groups.fill_from_similar(df, "e", "d", ["x"], ["z"], k=3).collect()}
@@ -302,9 +342,20 @@ def test_wide_table(spark, block):
 
 
 def test_wide_table_blocks_join_in_place(spark):
+    """One scan and two shuffles (cells reduced, cells by entity), however many blocks."""
     df = spark.range(100).selectExpr("concat('s', id % 7) station", "id % 3 day", "concat('k', id % 9) k", "cast(id as double) v")
-    plan = blockpivot.wide_table(df, ["station", "day"], "k", "v", [f"k{i}" for i in range(9)], block=3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 3  # one a block, none for the joins
+    for block in (1, 3, 9):
+        plan = blockpivot.wide_table(df, ["station", "day"], "k", "v", [f"k{i}" for i in range(9)], block=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Range (") == 1
+
+
+def test_wide_table_of_many_attributes(spark):
+    df = spark.range(6_000).selectExpr("id % 40 station", "0 day", "concat('k', id % 600) k", "cast(id % 600 as double) v")
+    w = blockpivot.wide_table(df, ["station", "day"], "k", "v", block=64)
+    assert len(w.columns) == 2 + 2 * 600 and w.count() == 40
+    r = w.where("station = 7").first()
+    there = {i % 600 for i in range(6_000) if i % 40 == 7}
+    assert {k for k in range(600) if r[f"k{k}"] is not None} == there and all(r[f"k{k}"] == k and r[f"k{k}_state"] == "ok" for k in there)
 
 
 def test_wide_table_empty(spark):
