@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempestry.session import written
@@ -26,15 +26,23 @@ class Prototypes:
     centres: list[dict[str, object]]
     gamma: float
 
-    def assign(self) -> Column:
-        """The nearest centre's number over the features that a record has; ties go to the lower number."""
+    def assign(self, centre=None) -> Column:
+        """The nearest centre's number over the features that a record has; ties go to the lower number. centre(i, feature) gives a centre's
+        column, by default its value."""
+        at = centre or (lambda i, f: F.lit(self.centres[i].get(f)))
         parts = []
-        for i, c in enumerate(self.centres):
-            terms = [F.coalesce(F.pow((F.col(f) - self.mean[f]) / self.sd[f] - float(c[f]), F.lit(2.0)), F.lit(0.0)) for f in self.numeric if c.get(f) is not None]
-            terms += [F.coalesce((F.col(f) != F.lit(c[f])).cast("double"), F.lit(0.0)) * self.gamma for f in self.categorical if c.get(f) is not None]
+        for i in range(len(self.centres)):
+            terms = [F.coalesce(F.pow((F.col(f) - self.mean[f]) / self.sd[f] - at(i, f), F.lit(2.0)), F.lit(0.0)) for f in self.numeric]
+            terms += [F.coalesce((F.col(f) != at(i, f)).cast("double"), F.lit(0.0)) * self.gamma for f in self.categorical]
             parts.append(F.struct(reduce(lambda a, b: a + b, terms, F.lit(0.0)).alias("d"), F.lit(i).alias("i")))
         return F.array_min(F.array(*parts))["i"]
 
+    def row(self, spark: SparkSession) -> DataFrame:
+        """The centres as one row of columns: values that change from round to round don't make new code to compile."""
+        names = [(i, f) for i in range(len(self.centres)) for f in [*self.numeric, *self.categorical]]
+        schema = ", ".join(f"`_c{i}_{f}` {'double' if f in self.numeric else 'string'}" for i, f in names)
+        return spark.createDataFrame([tuple(float(v) if f in self.numeric and v is not None else v for i, f in names for v in [self.centres[i].get(f)])], schema)
+
 
 def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k: int = 8, rounds: int = 20, gamma: float = 1.0, still: float = 0.02) -> Prototypes:
     """k-prototypes over all rows: squared distance of standardised numbers plus gamma per differing category, over the
@@ -53,8 +61,9 @@ def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k:
     p = Prototypes(numeric, categorical, mean, sd, first, gamma)
     aggs = [F.avg((F.col(f) - mean[f]) / sd[f]).alias(f) for f in numeric] + [F.mode(F.col(f), True).alias(f) for f in categorical]
     for _ in range(rounds):
-        got = {r["_k"]: r.asDict() for r in df.groupBy(p.assign().alias("_k")).agg(*aggs).collect()}  # k rows
-        new = [{f: got[i][f] for f in [*numeric, *categorical]} for i in sorted(got)] or [{}]
+        with_centres = df.crossJoin(F.broadcast(p.row(df.sparkSession)))  # one row
+        got = {r["_k"]: r.asDict() for r in with_centres.groupBy(p.assign(lambda i, f: F.col(f"_c{i}_{f}")).alias("_k")).agg(*aggs).collect()}  # k rows
+        new = [{f: got[i][f] for f in [*numeric, *categorical]} for i in sorted(got)] or [dict.fromkeys([*numeric, *categorical])]
         moved = len(new) != len(p.centres) or any((a[f] is None) != (b[f] is None) or (a[f] is not None and (a[f] != b[f] if f in categorical else abs(a[f] - b[f]) >= still)) for a, b in zip(new, p.centres, strict=True) for f in a)
         p.centres = new
         if not moved:

@@ -51,7 +51,8 @@ def fit_tails(rows: DataFrame, false_alarms: float) -> DataFrame:
     alarms. A first round, exponential over the third quartile with the scale of the quartile above it, leaves out what lies
     beyond its cutoff. Of the rest, the excesses over the 90th percentile are fitted by a generalised Pareto distribution with
     probability-weighted moments. A shape from some ten to a hundred excesses is uncertain, so the ratio of moments that gives it is drawn
-    towards that of all sources by SHAPE_PRIOR excesses, and the scale by SCALE_PRIOR: a long record keeps its own tail, a short one
+    towards that of all sources by SHAPE_PRIOR excesses (theirs, in turn, towards the exponential's by as many, which counts where there are
+    few sources), and the scale by SCALE_PRIOR: a long record keeps its own tail, a short one
     gets a cutoff too. A shape under 0 would have the tail end, at little more than the largest value seen, which no record proves;
     it counts as 0 (exponential). The cutoff is what a reading passes with the risk; null where no source has an excess.
 
@@ -70,7 +71,7 @@ def fit_tails(rows: DataFrame, false_alarms: float) -> DataFrame:
     x = once(x.select("_s", "field", "_u", "_risk", "_n", "_es"), {"_m": m, "_a0": F.try_divide(total(F.col("_es")), m.cast("double")), "_a1": F.try_divide(total(weighted), m.cast("double"))}).drop("_es")
     x = written(x)
     both = F.try_divide(F.col("_a1"), F.col("_a0"))
-    pool = x.groupBy("field").agg(F.try_divide(F.sum(both * F.col("_m")), F.sum("_m")).alias("_t"), F.try_divide(F.sum(F.col("_a0") * F.col("_m")), F.sum("_m")).alias("_a"))
+    pool = x.groupBy("field").agg(((F.coalesce(F.sum(both * F.col("_m")), F.lit(0.0)) + 0.25 * SHAPE_PRIOR) / (F.sum("_m") + SHAPE_PRIOR)).alias("_t"), F.try_divide(F.sum(F.col("_a0") * F.col("_m")), F.sum("_m")).alias("_a"))
     x = x.join(F.broadcast(pool), "field")  # one row a measure
     own = F.col("_m").cast("double")
     t = (F.coalesce(both, F.lit(0.0)) * own + F.col("_t") * SHAPE_PRIOR) / (own + SHAPE_PRIOR)
@@ -80,7 +81,7 @@ def fit_tails(rows: DataFrame, false_alarms: float) -> DataFrame:
     scale = F.col("_mean") * (1.0 - F.col("_shape"))
     beyond = F.greatest(own, F.lit(1.0)) / F.col("_n")
     cutoff = F.col("_u") + scale / F.col("_shape") * (F.pow(F.col("_risk") / beyond, -F.col("_shape")) - 1)
-    return x.select("_s", "field", cutoff.alias("cutoff"))
+    return x.select("_s", "field", F.when(F.col("_a").isNotNull(), cutoff).alias("cutoff"))
 
 
 def flag_readings(df: DataFrame, source: str, day: str, measures: tuple[Measure, ...] = WEATHER_MEASURES, season_days: int = 15, stuck: int = 5, false_alarms: float = 0.003) -> DataFrame:
