@@ -89,6 +89,31 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def put_pieces(spark: SparkSession, path: str, pieces: list[tuple[str, str]]) -> None:
+    """A text file of any size: of each (text, folder) the text, then the files that Spark wrote to the folder, in their order. They are
+    copied through a small buffer, so the driver never holds them, and each is deleted at once, so the disk doesn't hold all of it twice."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    name = lambda f: f.rsplit("/", 1)[1]
+    p = hadoop.fs.Path(path)
+    out = p.getFileSystem(conf).create(p, True)
+    try:
+        for text, folder in pieces:
+            out.write(bytearray(text.encode()))
+            parts = [f for f in list_files(spark, folder) if name(f).startswith("part-")]
+            for f in sorted(parts, key=lambda f: int(name(f).split("-")[1])):  # by task: names sort only up to five digits
+                q = hadoop.fs.Path(f)
+                part = q.getFileSystem(conf).open(q)
+                try:
+                    hadoop.io.IOUtils.copyBytes(part, out, 65_536, False)
+                finally:
+                    part.close()
+                _delete(spark, f)
+    finally:
+        out.close()
+    for _, folder in pieces:
+        _delete(spark, folder)
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     """What put_text wrote."""
     return spark.read.text(path, wholetext=True).first()[0]

@@ -4,6 +4,7 @@ import json
 import math
 import threading
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -459,6 +460,32 @@ def test_sinks(spark, tmp_path):
         sinks.markdown(df, most=1)
 
 
+def test_report_of_any_size(spark, tmp_path):
+    """Every row of every section, in order, from several tasks; cells as Python writes them."""
+    n = 2_500
+    long = spark.range(n).select("id", F.concat(F.lit("a|"), "id").alias("k")).repartitionByRange(7, F.desc("id")).sortWithinPartitions(F.desc("id"))
+    kinds = "s string, b boolean, i int, d date, f float, v double, m decimal(9,3), t timestamp_ntz, l array<int>, z void, `x.y` string"
+    some = spark.createDataFrame([("é|", True, -1, D, 0.1, 1e-7 / 3, Decimal("1.5"), datetime(2024, 1, 1, 2, 3, 4, 500000), [1, None], None, "p"), ("", False, None, None, None, float("nan"), None, None, None, None, None)], kinds)
+    twice = some.select("s", F.col("i").alias("s"))
+    set_to = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        sinks.report({"Long": long, "Kinds": some, "Twice": twice, "None": long.where("id < 0")}, str(tmp_path / "r.md"), "R")
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", set_to)
+    lines = (tmp_path / "r.md").read_text().split("\n")
+    assert lines[:6] == ["# R", "", "## Long", "", "| id | k |", "| --- | --- |"]
+    assert lines[6 : 6 + n] == [f"| {i} | a\\|{i} |" for i in reversed(range(n))]
+    assert lines[6 + n :] == [
+        *["", "## Kinds", "", "| s | b | i | d | f | v | m | t | l | z | x.y |", "|" + " --- |" * 11],
+        "| é\\| | True | -1 | 2024-01-01 | 0.1 | 3.33333e-08 | 1.500 | 2024-01-01 02:03:04.500000 | [1, None] |  | p |",
+        "|  | False |  |  |  | nan |  |  |  |  |  |",
+        *["", "## Twice", "", "| s | s |", "| --- | --- |", "| é\\| | -1 |", "|  |  |"],
+        *["", "## None", "", "| id | k |", "| --- | --- |", ""],
+    ]
+    assert sinks.markdown(some).split("\n") == lines[9 + n : 13 + n]
+
+
 def test_paged_source(spark):
     data = [{"i": i} for i in range(25)]
     fails = [503]

@@ -58,3 +58,11 @@ def test_consensus_of_real_selections(spark, root):
 def test_kinds_of_all_features(spark, root):
     got = {r["feature"]: r["kind"] for r in reference.QUERIES["m09_kinds"](spark, root).collect()}
     assert got.keys() >= {f for fs in features.GROUPS.values() for f in fs} and got.items() >= reference.NAMES.items()
+
+
+def test_report_of_many_counties(spark, tmp_path):
+    """s17_report against its SQL with more counties than the driver would take as one markdown text."""
+    n = 1_201
+    connect(str(tmp_path)).sql(f"COPY (SELECT lpad(i::VARCHAR, 5, '0') AS fips_code, 'County | ' || i AS name FROM range({n}) t(i)) TO '{tmp_path}/counties.parquet' (FORMAT parquet)")
+    df, rel = reference.QUERIES["s17_report"](spark, str(tmp_path)), connect(str(tmp_path)).sql(reference.ORACLE["s17_report"])
+    assert df.collect() == rel.fetchall() == [(n + 7, n + 1)]
